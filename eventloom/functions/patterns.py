@@ -118,3 +118,8 @@ def lines(col: Column) -> Column:
 
 def first_where(arr: Column, predicate) -> Column:
     return F.get(F.filter(arr, predicate), F.lit(0))
+
+
+def missing_text(col: Column) -> Column:
+    """NULL for an empty text."""
+    return blank_to_null(col)

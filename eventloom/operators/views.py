@@ -18,8 +18,6 @@ def _low(name: str) -> Column:
     return F.lower(text(F.col(name)))
 
 
-TRUE = F.lit
-
 
 # ---------------------------------------------------------------- predicates
 def city_is(city: str) -> Column:
@@ -174,14 +172,11 @@ def digest(df: DataFrame, min_score: float = 8.5, fallback: int = 10, cards: int
     order = [F.col("seq")]
     high = df.where(F.col("score") >= min_score)
     first = df.orderBy(*order).limit(fallback)
-    none = high.agg((F.count("*") == 0).alias("_none"))
-    pool = high.orderBy(*order).limit(cards).unionByName(
-        first.crossJoin(F.broadcast(none)).where("_none").drop("_none"))  # one-row frame
-    campus = F.col("category").contains("University") | F.col("category").contains("Student")
-    count = high.agg(F.count_if(campus).alias("_c")).crossJoin(F.broadcast(none)).crossJoin(F.broadcast(
-        first.agg(F.count_if(campus).alias("_f")))).select(  # one-row frames
-        F.when(F.col("_none"), F.col("_f")).otherwise(F.col("_c")).alias("campus_count"))
-    return pool.orderBy(*order).limit(cards).crossJoin(F.broadcast(count))
+    none = high.agg(F.count("*") == 0).scalar()
+    pool = high.orderBy(*order).limit(cards).unionByName(first.where(none))
+    campus = F.count_if(F.col("category").contains("University") | F.col("category").contains("Student"))
+    count = F.when(none, first.agg(campus).scalar()).otherwise(high.agg(campus).scalar())
+    return pool.orderBy(*order).limit(cards).withColumn("campus_count", count)
 
 
 def briefing(df: DataFrame, k: int = 5) -> DataFrame:
