@@ -94,9 +94,14 @@ def first_label(col: Column, groups, default) -> Column:
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
+# every character Python and Unicode count as white space
+WHITE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+         + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(col: Column) -> Column:
     """Trim any white space, not only blanks."""
-    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(WHITE))
 
 
 def squeeze(col: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
-from ..functions.patterns import contains_any, squeeze, text, unicode_regex
+from ..functions.patterns import contains_any, let, squeeze, text, unicode_regex
 from .views import _low
 
 
@@ -32,35 +32,61 @@ def _strip_chosen(rest: Column, label: Column, groups, lead: str = "") -> Column
     return out.otherwise(rest)
 
 
+def _without_month(rest: Column, month: Column) -> Column:
+    """The question without the first mention of its month."""
+    out = None
+    for m in lx.INTENT_MONTHS:
+        rx = _rx(m, _IN)
+        cut = F.concat(F.substr(rest, F.lit(1), F.regexp_instr(rest, F.lit(rx)) - 1), F.lit(" "), F.substr(
+            rest, F.regexp_instr(rest, F.lit(rx)) + F.length(F.regexp_extract(rest, rx, 0)), F.length(rest)))
+        out = (F.when if out is None else out.when)(month == m, cut)
+    return out.otherwise(rest)
+
+
+_IN = r"(?:in\s+)?"
+
+
+def _understand(question: Column) -> Column:
+    """Facts are taken out one after the other; each step sees the text the one before left."""
+    facts = ["city", "category", "is_free", "high", "has_clash", "month"]
+
+    def step(state: Column, name: str, find, drop) -> Column:
+        known = facts[:facts.index(name)]
+
+        def found(p: Column) -> Column:
+            return F.struct(p["r"].alias("r"), *[p[k].alias(k) for k in known], find(p["r"]).alias(name))
+
+        def dropped(p: Column) -> Column:
+            return F.struct(drop(p["r"], p[name]).alias("r"), *[p[k].alias(k) for k in known], p[name].alias(name))
+
+        return let(let(state, found), dropped)
+
+    state = F.struct(F.lower(question).alias("r"))
+    state = step(state, "city", lambda r: _ordered(r, lx.INTENT_CITIES),
+                 lambda r, v: _strip_chosen(r, v, lx.INTENT_CITIES, _IN))
+    state = step(state, "category", lambda r: _ordered(r, lx.INTENT_CATEGORIES),
+                 lambda r, v: _strip_chosen(r, v, lx.INTENT_CATEGORIES))
+    for name, words in (("is_free", lx.INTENT_FREE), ("high", lx.INTENT_HIGH), ("has_clash", lx.INTENT_CLASH)):
+        state = step(state, name, lambda r, w=words: r.rlike(_rx(w)), lambda r, v, w=words: F.regexp_replace(r, _rx(w), " "))
+    months = [(m, m) for m in lx.INTENT_MONTHS]
+    state = step(state, "month", lambda r: _ordered(r, months), _without_month)
+
+    def intent(p: Column) -> Column:
+        known = (p["city"].isNotNull() | p["category"].isNotNull() | p["is_free"] | p["high"] | p["has_clash"]
+                 | p["month"].isNotNull())
+        residual = squeeze(F.regexp_replace(p["r"], _rx(lx.INTENT_STOP), " "))
+        return F.when(known, F.struct(
+            p["city"].alias("city"), p["category"].alias("category"), p["is_free"].alias("is_free"),
+            F.when(p["high"], "HIGH").alias("priority"), p["has_clash"].alias("has_clash"),
+            F.upper(F.substring(p["month"], 1, 3)).alias("month"), residual.alias("residual")))
+
+    return let(state, intent)
+
+
 def parse_questions(df: DataFrame, q: str = "q", into: str = "intent") -> DataFrame:
     """Add a struct: city, category, is_free, priority, has_clash, month, residual; NULL when nothing is recognised."""
-    keep, c = df.columns, F.col
-    in_ = r"(?:in\s+)?"
-    df = df.withColumn("_q", F.trim(text(c(q)))).withColumn("_r", F.lower("_q"))
-    df = df.withColumn("_city", _ordered(c("_r"), lx.INTENT_CITIES))
-    df = df.withColumn("_r", _strip_chosen(c("_r"), c("_city"), lx.INTENT_CITIES, in_))
-    df = df.withColumn("_cat", _ordered(c("_r"), lx.INTENT_CATEGORIES))
-    df = df.withColumn("_r", _strip_chosen(c("_r"), c("_cat"), lx.INTENT_CATEGORIES))
-    for name, words in (("_free", lx.INTENT_FREE), ("_high", lx.INTENT_HIGH), ("_clash", lx.INTENT_CLASH)):
-        df = df.withColumn(name, c("_r").rlike(_rx(words)))
-        df = df.withColumn("_r", F.regexp_replace("_r", _rx(words), " "))
-    months = [(m, m) for m in lx.INTENT_MONTHS]
-    df = df.withColumn("_month", _ordered(c("_r"), months))
-    first_only = None
-    for m, _ in months:
-        at = F.regexp_instr(c("_r"), F.lit(_rx(m, in_)))
-        size = F.length(F.regexp_extract(c("_r"), _rx(m, in_), 0))
-        cut = F.concat(F.substr(c("_r"), F.lit(1), at - 1), F.lit(" "), F.substr(c("_r"), at + size, F.length("_r")))
-        first_only = (F.when if first_only is None else first_only.when)(c("_month") == m, cut)
-    df = df.withColumn("_r", first_only.otherwise(c("_r")))
-    df = df.withColumn("_r", squeeze(F.regexp_replace("_r", _rx(lx.INTENT_STOP), " ")))
-    known = (c("_city").isNotNull() | c("_cat").isNotNull() | c("_free") | c("_high") | c("_clash")
-             | c("_month").isNotNull())
-    intent = F.struct(
-        c("_city").alias("city"), c("_cat").alias("category"), c("_free").alias("is_free"),
-        F.when(c("_high"), "HIGH").alias("priority"), c("_clash").alias("has_clash"),
-        F.upper(F.substring("_month", 1, 3)).alias("month"), c("_r").alias("residual"))
-    return df.withColumn(into, F.when((F.length("_q") >= 3) & known, intent)).select(*keep, into)
+    asked = F.trim(text(F.col(q)))
+    return df.withColumn(into, F.when(F.length(asked) >= 3, _understand(asked)))
 
 
 def _category_fits(want: Column) -> Column:

@@ -62,7 +62,10 @@ _SCHEMA = "page_url string, pos int, eid string, title string, link string, date
 
 
 def _card_rows(feed: CardFeed):
-    """A function over batches of pages; nested so that it travels to the executors by value."""
+    """A function over batches of pages; nested, with plain values, so that it travels to the executors whole."""
+    card_tests, data_attributes = feed.card, feed.data_attributes
+    field_tests = (("link", feed.link), ("title", feed.title), ("date", feed.date), ("place", feed.place))
+
     def run(batches):
         from html.parser import HTMLParser
 
@@ -87,14 +90,14 @@ def _card_rows(feed: CardFeed):
                 node = {"tag": tag, "card": None, "fields": []}
                 open_cards = [n["card"] for n in self.stack if n["card"] is not None]
                 for card in open_cards:
-                    for field, tests in (("link", feed.link), ("title", feed.title), ("date", feed.date), ("place", feed.place)):
+                    for field, tests in field_tests:
                         if field not in card["seen"] and fits(tag, a, tests):
                             card["seen"].add(field)
                             if field == "link":
                                 card["link"] = a.get("href")
                             else:
                                 node["fields"].append((card, field))
-                if fits(tag, a, feed.card):
+                if fits(tag, a, card_tests):
                     node["card"] = {"attrs": a, "seen": set(), "title": [], "date": [], "place": [], "text": [], "link": None}
                     self.cards.append(node["card"])
                 if tag not in void:
@@ -122,7 +125,7 @@ def _card_rows(feed: CardFeed):
                 parser.feed(html or "")
                 parser.close()
                 for i, c in enumerate(parser.cards):
-                    a = c["attrs"] if feed.data_attributes else {}
+                    a = c["attrs"] if data_attributes else {}
                     out.append((url, i, a.get("data-eid") or a.get("data-id"), a.get("data-name") or "".join(c["title"]),
                                 a.get("data-link") or c["link"], "".join(c["date"]), "".join(c["place"]), " ".join(c["text"])))
             yield pd.DataFrame(out, columns=["page_url", "pos", "eid", "title", "link", "date_text", "place", "body"])
