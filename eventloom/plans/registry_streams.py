@@ -22,7 +22,7 @@ def _scratch(spark) -> str:
 
 def _stream(spark, sf, name: str) -> DataFrame:
     schema = A.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet")
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
