@@ -15,7 +15,7 @@ from eventloom.session import local_session  # noqa: E402
 
 HEADLINES = ("w1_clash_report", "a1_dashboard_metrics", "a5_clash_groups", "b3_view_query", "c1_score_cascade",
              "d1_parse_datetime", "x10_analyze_caption", "j5_directory_contacts", "q1_inverted_index", "q2_ranked_search_top",
-             "e4_jaccard_pairs", "e1_resolve_announcements")
+             "e4_jaccard_pairs", "e2_client_resolve")
 
 
 def main() -> None:

@@ -137,14 +137,18 @@ def sort_table(df: DataFrame, column: str = "priority", ascending: bool = False,
 
 
 # ------------------------------------------------------------------- metrics
-def dashboard_metrics(df: DataFrame) -> DataFrame:
+def metric_columns() -> list[Column]:
     flagship = _low("category").contains("flagship") | _low("source").contains("summit")
-    return df.agg(
+    return [
         F.count("*").alias("total_events"), F.count_if(F.col("priority") == "HIGH").alias("high_priority"),
         F.count_if(has_clash()).alias("clashes"), F.count_if(has_partner()).alias("partner_orgs"),
         F.count_if(flagship).alias("flagship_count"),
         F.count_if(_low("source").contains("ticketsmarche")).alias("ticketsmarche_count"),
-        F.count_if(from_social()).alias("social_count"))
+        F.count_if(from_social()).alias("social_count")]
+
+
+def dashboard_metrics(df: DataFrame) -> DataFrame:
+    return df.agg(*metric_columns())
 
 
 def stats(df: DataFrame, city: str = "tanta") -> DataFrame:
