@@ -86,33 +86,37 @@ def weekly_counts(events: DataFrame, city: str = "city", at: str = "start_ts", l
             .select("city", F.col("w.start").alias("week_start"), "n_events"))
 
 
-class ExpiryAlerts(StatefulProcessor):
-    """Emit an event once its start lies six hours back in event time: one timer and one value per id."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.start = handle.getValueState("start", "start_ms long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
-        for pdf in rows:
-            top = pdf["start_ts"].max()
-            latest = top if latest is None or top > latest else latest
-        if latest is not None:
-            due = int(latest.timestamp() * 1000) + 6 * 3_600_000
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.start.update((int(latest.timestamp() * 1000),))
-            self.handle.registerTimer(due)
-        yield pd.DataFrame({"event_id": pd.Series([], dtype="str"), "start_ms": pd.Series([], dtype="int64")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start = self.start.get()[0]
-        self.start.clear()
-        yield pd.DataFrame({"event_id": [str(key[0])], "start_ms": [start]})
-
-    def close(self) -> None:
-        pass
+def expiry_processor() -> StatefulProcessor:
+    # a nested class travels to the executors by value, so they need not have this package
+    class ExpiryAlerts(StatefulProcessor):
+        """Emit an event once its start lies six hours back in event time: one timer and one value per id."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.start = handle.getValueState("start", "start_ms long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            latest = None
+            for pdf in rows:
+                top = pdf["start_ts"].max()
+                latest = top if latest is None or top > latest else latest
+            if latest is not None:
+                due = int(latest.timestamp() * 1000) + 6 * 3_600_000
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old)
+                self.start.update((int(latest.timestamp() * 1000),))
+                self.handle.registerTimer(due)
+            yield pd.DataFrame({"event_id": pd.Series([], dtype="str"), "start_ms": pd.Series([], dtype="int64")})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            start = self.start.get()[0]
+            self.start.clear()
+            yield pd.DataFrame({"event_id": [str(key[0])], "start_ms": [start]})
+
+        def close(self) -> None:
+            pass
+
+    return ExpiryAlerts()
 
 
 def expiry_alerts(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -121,5 +125,5 @@ def expiry_alerts(events: DataFrame, late: str = "1 hour") -> DataFrame:
     Needs the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass``.
     """
     return (events.withWatermark("start_ts", late).groupBy("event_id").transformWithStateInPandas(
-        statefulProcessor=ExpiryAlerts(), outputStructType="event_id string, start_ms long", outputMode="Append",
+        statefulProcessor=expiry_processor(), outputStructType="event_id string, start_ms long", outputMode="Append",
         timeMode="EventTime"))
