@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, linededup, pii, sharding, simhash, substring
+from . import bpe, decontam, hnsw, langid, linededup, pii, sharding, simhash, substring, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,27 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query(hnsw.SQL)
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def fold(parts: int, out: int) -> Column:
+    """Whether a document is held out: the checksum of its id, written as text, leaves ``out``; a null id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == out, F.lit(False)).alias("held_out")
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", fold(3, 1))
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~fold(3, 1))
+    scored = toxicity.score(docs, toxicity.fit(docs.where("NOT held_out"), labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", fold(4, 2))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), langid.fit(docs.where("NOT held_out"))).select("doc_id", "held_out", "lang_pred", "score")
