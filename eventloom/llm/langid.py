@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 4
 LENGTH = 256  # bytes of a window; windows overlap by the widest filter less one, so no sequence is cut
 SAMPLE, WINDOWS = 600, 6  # training documents a language, about; windows of each
+SHORTENED = 0.4  # share of training windows cut to a random length
 UNKNOWN = "und"
 _FOLD = bytes(range(256)).lower()
 
@@ -73,7 +74,9 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), batch):
-            x, y = windows[order[at:at + batch]], labels[order[at:at + batch]]
+            x, y = windows[order[at:at + batch]].copy(), labels[order[at:at + batch]]
+            ends = np.where(rng.random(len(x)) < SHORTENED, rng.integers(8, LENGTH, len(x)), LENGTH)  # some windows hold a short text
+            x[np.arange(LENGTH)[None] >= ends[:, None]] = 0
             hidden, kept = net.pooled(x, keep=True)
             z = hidden @ net.out + net.bias
             p = np.exp(z - z.max(axis=1, keepdims=True))

@@ -25,8 +25,9 @@ IDENTITY_TERMS = (
 )
 STRIP = ".,;:!?|\"'()[]{}<>*#%&$…«»“”„¿¡"
 PREFIXES = (4, 5, 6)
-SAMPLE, FEATURES, LEAST_ROWS = 20_000, 3_000, 4  # bounds of the training sample and of the vocabulary; rows a feature must occur in
-THRESHOLD = 0.7
+SAMPLE, FEATURES = 20_000, 3_000  # bounds of the training sample and of the vocabulary
+LEAST_ROWS, LEAST_GAIN = 4, 5.0  # rows a feature must occur in; nats of information about the label it must give
+THRESHOLD, ASIDE = 0.7, 4  # toxic at this score or more; one row in so many is set aside to place it
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -68,15 +69,16 @@ def _sparse(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for r in rows for i in r], np.int64), np.repeat(np.arange(len(rows)), lengths)
 
 
-def train(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, steps: int = 400, rate: float = 0.2,
-          ridge: float = 1e-4, fairness: float = 1.0) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam; ``pairs`` are counterfactual rows whose scores (before the sigmoid) are pulled together."""
+def train(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], size: int, steps: int = 600, rate: float = 0.2,
+          ridge: float = 1e-5, fairness: float = 1.0) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam; ``pairs`` are counterfactual rows whose scores (before the sigmoid) are pulled together.
+    Classes weigh alike and weights stay at 0 or above: a word may be evidence of toxicity, and no other word outweighs it."""
     idx, row = _sparse(rows)
     left, lrow = _sparse([a for a, _ in pairs])
     right, rrow = _sparse([b for _, b in pairs])
     n, p = max(1, len(rows)), max(1, len(pairs))
-    weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)) ** 0.5
-    w, b = np.zeros(size + 1), 0.0
+    weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
+    w = np.zeros(size + 1)
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         z = np.bincount(row, w[idx], minlength=len(rows)) + w[size]
@@ -89,7 +91,8 @@ def train(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int]
             grad += 2 * fairness * (np.bincount(left, gap[lrow], minlength=size + 1) - np.bincount(right, gap[rrow], minlength=size + 1)) / p
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
         w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return w[:size], float(w[size] + b)
+        np.maximum(w[:size], 0, out=w[:size])
+    return w[:size], float(w[size])
 
 
 def counterfactuals(words: set[str], turn: int) -> list[tuple[set[str], set[str]]]:
@@ -105,6 +108,17 @@ def counterfactuals(words: set[str], turn: int) -> list[tuple[set[str], set[str]
     return out
 
 
+def calibrated(z: np.ndarray, labels: np.ndarray) -> float:
+    """The cut with the best F1 on rows set aside; within a gap between two values, its middle."""
+    order = np.argsort(-z, kind="stable")
+    z, y = z[order], labels[order]
+    hits, rows = np.cumsum(y), np.arange(1, len(y) + 1)
+    ends = np.append(z[:-1] > z[1:], True)
+    f1 = np.where(ends, 2 * hits / (rows + y.sum()), -1.0)
+    k = int(np.argmax(f1))
+    return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k])
+
+
 def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """A model from ``labelled`` (key, toxic), rows with a null in either left out; of repeated ids the larger label counts.
 
@@ -132,31 +146,39 @@ def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
     expected = F.col("n") * ((t + 0.5) / (n + 1))
     gain = F.col("t") * F.log((F.col("t") + 0.5) / (expected + 0.5)) + (F.col("n") - F.col("t")) * F.log((F.col("n") - F.col("t") + 0.5) / (F.col("n") - expected + 0.5))
     terms = sorted({f for group in IDENTITY_TERMS for w in group for f in features_of(w)})
-    best = [r["feature"] for r in counted.orderBy(gain.desc(), "feature").limit(features).collect()]
+    telling = counted.where((gain >= LEAST_GAIN) & (F.col("t") > expected))
+    best = [r["feature"] for r in telling.orderBy(gain.desc(), "feature").limit(features).collect()]
     vocabulary = {f: i for i, f in enumerate(dict.fromkeys([*best, *terms]))}
     blank = Model(vocabulary, np.zeros(len(vocabulary)), 0.0)
 
     def numbered(batches):
         memory: dict = {}
         for batch in batches:
-            out = {"toxic": [], "own": [], "left": [], "right": []}
+            out = {"id": [], "toxic": [], "own": [], "left": [], "right": []}
             for i, t, y in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 words = words_of(t)
+                out["id"].append(i)
                 out["toxic"].append(y)
                 out["own"].append(sorted(blank.indices(words, memory)))
                 pairs = [(sorted(blank.indices(a, memory)), sorted(blank.indices(b, memory))) for a, b in counterfactuals(words, i % 1009)]
                 out["left"].append([a for a, _ in pairs])
                 out["right"].append([b for _, b in pairs])
-            kinds = {"toxic": pa.int64(), "own": pa.list_(pa.int32()), "left": pa.list_(pa.list_(pa.int32())), "right": pa.list_(pa.list_(pa.int32()))}
+            kinds = {"id": pa.int64(), "toxic": pa.int64(), "own": pa.list_(pa.int32()), "left": pa.list_(pa.list_(pa.int32())), "right": pa.list_(pa.list_(pa.int32()))}
             yield pa.RecordBatch.from_arrays([pa.array(out[k], kinds[k]) for k in kinds], names=list(kinds))
 
     seen = rows.select("_id", "_text", F.col("_toxic").cast("long")).mapInArrow(
-        numbered, "toxic long, own array<int>, left array<array<int>>, right array<array<int>>").collect()  # at most ``sample`` rows of numbers
+        numbered, "id long, toxic long, own array<int>, left array<array<int>>, right array<array<int>>").collect()  # at most ``sample`` rows of numbers
     if not seen or not 0 < t < n:
         return Model({}, np.zeros(0), -10.0 if t == 0 else 10.0)
-    weights, bias = train([r["own"] for r in seen], np.array([float(r["toxic"]) for r in seen]),
+    seen.sort(key=lambda r: r["id"])
+    labels = np.array([float(r["toxic"]) for r in seen])
+    aside = np.arange(len(seen)) % ASIDE == 0
+    aside &= bool(labels[aside].any() and labels[~aside].any())  # too few rows: all of them train
+    weights, bias = train([r["own"] for r, out in zip(seen, aside) if not out], labels[~aside],
                           [(a, b) for r in seen for a, b in zip(r["left"], r["right"])], len(vocabulary))
-    return Model(vocabulary, weights, bias)
+    z = np.array([weights[r["own"]].sum() + bias for r in seen])
+    test = aside if aside.any() else ~aside
+    return Model(vocabulary, weights, bias + float(np.log(THRESHOLD / (1 - THRESHOLD))) - calibrated(z[test], labels[test]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
