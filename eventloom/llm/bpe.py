@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 GEAR_BYTES, CUT_BITS = 8, 8  # a cut depends on the 8 bytes before it; a chunk has 256 bytes on average
 MOST_WORDS, MOST_CHUNK_BYTES = 300_000, 48 << 20  # of one task's memories; a full one is emptied
 
@@ -134,5 +136,5 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                                           names=["ids", "decoded"])
 
     memo: dict[str, ChunkCoder] = {}
-    out = docs.withColumn("_bpe", code(F.col(text).cast("binary")))
-    return out.select(*[c for c in docs.columns if c not in ("ids", "decoded")], "_bpe.ids", "_bpe.decoded")
+    out = docs.withColumn("__llm_bpe", code(F.col(text).cast("binary")))
+    return out.select(*[named(c) for c in docs.columns if c not in ("ids", "decoded")], "__llm_bpe.ids", "__llm_bpe.decoded")

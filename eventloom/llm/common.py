@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -19,6 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its very name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 class Scratch:
     """Written tables that cut lineage, in the folder that the session names in ``spark.checkpoint.dir``.
 

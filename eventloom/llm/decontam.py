@@ -120,8 +120,8 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without contaminated documents; all columns stay."""
-    bad = report(docs, items, key, text).where("contaminated").select(F.col("row").alias("_row")).distinct()
-    return docs.join(bad, F.xxhash64(F.col(key), F.col(text)) == F.col("_row"), "left_anti")
+    bad = report(docs, items, key, text).where("contaminated").select(F.col("row").alias("__llm_row")).distinct()
+    return docs.join(bad, F.xxhash64(F.col(key), F.col(text)) == F.col("__llm_row"), "left_anti")
 
 
 _TOKENS = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 4
 LENGTH = 256  # bytes of a window; windows overlap by the widest filter less one, so no sequence is cut
 SAMPLE, WINDOWS = 600, 6  # training documents a language, about; windows of each
@@ -177,5 +179,5 @@ def predict(docs: DataFrame, net: Net, text: str = "text", block: int = 512) ->
 
     state = dict(net.__dict__)
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("_lang_result", identify(F.col(text).cast("binary"), letters))
-    return out.select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "_lang_result.lang_pred", "_lang_result.score")
+    out = docs.withColumn("__llm_lang", identify(F.col(text).cast("binary"), letters))
+    return out.select(*[named(c) for c in docs.columns if c not in ("lang_pred", "score")], "__llm_lang.lang_pred", "__llm_lang.score")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, UPPER
+from .common import LOWER, SPACES, UPPER, named
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -32,8 +32,8 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
              .select("id", F.unhex(F.md5(F.col("line").cast("binary"))).alias("hash")))
     pairs = lines.distinct()
     frequent = (pairs.groupBy("hash").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("hash", "keeper"))
-    drops = (pairs.join(frequent, "hash").where("id <> keeper").groupBy("id").agg(F.collect_list("hash").alias("drops"))
-             .select(F.col("id").alias("drop_id"), "drops"))
+    drops = (pairs.join(frequent, "hash").where("id <> keeper").groupBy("id").agg(F.collect_list("hash").alias("__llm_drops"))
+             .select(F.col("id").alias("__llm_id"), "__llm_drops"))
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def reassemble(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -55,11 +55,11 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
 
     table = str.maketrans(UPPER, LOWER)
     rest = docs.columns
-    joined = docs.join(drops.hint("shuffle_hash"), F.col(key) == F.col("drop_id"), "left")
-    out = joined.withColumn("_line_result", reassemble(F.col(text), F.col("drops")))
-    fixed = {text: F.col("_line_result.text")}
-    return out.select(*[fixed.get(c, F.col(c)).alias(c) for c in rest if c not in ("n_lines", "n_dropped")],
-                      F.col("_line_result.n_lines").alias("n_lines"), F.col("_line_result.n_dropped").alias("n_dropped"))
+    joined = docs.join(drops.hint("shuffle_hash"), F.col(key) == F.col("__llm_id"), "left")
+    out = joined.withColumn("__llm_lines", reassemble(F.col(text), F.col("__llm_drops")))
+    fixed = {text: F.col("__llm_lines.text")}
+    return out.select(*[fixed.get(c, named(c)).alias(c) for c in rest if c not in ("n_lines", "n_dropped")],
+                      F.col("__llm_lines.n_lines").alias("n_lines"), F.col("__llm_lines.n_dropped").alias("n_dropped"))
 
 
 SQL = f"""

@@ -121,6 +121,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near duplicates: of each component the row whose id is the component's stays (one of them, if the id repeats);
     rows with a null id are kept, for nothing names them."""
-    firsts = near_duplicates(docs, key, text).where(f"`{key}` = component_id").select(F.col(key).alias("_keep")).distinct()
-    known = docs.where(F.col(key).isNotNull()).join(firsts, F.col(key) == F.col("_keep"), "left_semi")
+    firsts = near_duplicates(docs, key, text).where(f"`{key}` = component_id").select(F.col(key).alias("__llm_keep")).distinct()
+    known = docs.where(F.col(key).isNotNull()).join(firsts, F.col(key) == F.col("__llm_keep"), "left_semi")
     return known.dropDuplicates([key]).union(docs.where(F.col(key).isNull()))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, words_in_blocks
+from .common import Scratch, named, words_in_blocks
 
 WINDOW = 35
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)  # every difference modulo 21 is a difference of two of these
@@ -103,7 +103,7 @@ def cut_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    names = [F.col(c) for c in docs.columns if c not in (text, "n_words", "n_removed")]
+    names = [named(c) for c in docs.columns if c not in (text, "n_words", "n_removed")]
     identity = F.xxhash64(*names, F.col(text)) if names else F.xxhash64(F.col(text))
     keyed = docs.select(identity.alias("row"), body.alias("body"))
     shared = spark.sparkContext.broadcast(repeated_sketch(spark, keyed))
@@ -133,8 +133,8 @@ def cut_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     counted = keyed.mapInArrow(windows, "h long, g int, n byte, row long, start int").groupBy("h", "g").agg(
         F.sum("n").alias("n"), F.min("row").alias("row"), F.min("start").alias("start"))
-    single = counted.where("n = 1").groupBy("row").agg(F.collect_list("start").alias("single"))
-    single = scratch.keep(single.withColumnRenamed("row", "_row"))
+    single = counted.where("n = 1").groupBy("row").agg(F.collect_list("start").alias("__llm_single"))
+    single = scratch.keep(single.withColumnRenamed("row", "__llm_row"))
     scratch.release()
 
     @F.arrow_udf("text string, n_words long, n_removed long")
@@ -154,10 +154,10 @@ def cut_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
                                           names=["text", "n_words", "n_removed"])
 
-    out = (docs.withColumns({"_row_hash": identity, "_body": body}).join(single.hint("shuffle_hash"), F.col("_row_hash") == F.col("_row"), "left")
-           .withColumn("_cut", cut(F.col("_body"), F.col("single"))))
-    return out.select(*[F.col("_cut.text").alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_words", "n_removed")],
-                      F.col("_cut.n_words").alias("n_words"), F.col("_cut.n_removed").alias("n_removed"))
+    out = (docs.withColumns({"__llm_hash": identity, "__llm_body": body}).join(single.hint("shuffle_hash"), F.col("__llm_hash") == F.col("__llm_row"), "left")
+           .withColumn("__llm_cut", cut(F.col("__llm_body"), F.col("__llm_single"))))
+    return out.select(*[F.col("__llm_cut.text").alias(text) if c == text else named(c) for c in docs.columns if c not in ("n_words", "n_removed")],
+                      F.col("__llm_cut.n_words").alias("n_words"), F.col("__llm_cut.n_removed").alias("n_removed"))
 
 
 SQL = f"""
