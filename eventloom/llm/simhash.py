@@ -81,6 +81,7 @@ def links(scratch: Scratch, reps: DataFrame, radius: int = RADIUS, tile: int = T
             flat = [c.values.to_numpy() for c in columns]
             for r in range(batch.num_rows):
                 a, na, b, nb = (flat[k][ends[k][r]:ends[k][r + 1]] for k in range(4))
+                a, b = a.view(np.uint64), b.view(np.uint64)  # numpy counts the bits of absolute values
                 found_a, found_b = [], []
                 for at in range(0, len(a), 256):
                     hit = np.nonzero(np.bitwise_count(a[at:at + 256, None] ^ b[None, :]) <= radius)
