@@ -82,5 +82,5 @@ def is_short_link(url: Column) -> Column:
 
 
 def stable_id(prefix: str, url: Column) -> Column:
-    """Identifier derived from the canonical link; equal on every run."""
-    return F.concat(F.lit(prefix), F.substring(F.sha2(canonical_url(url), 256), 1, 12))
+    """Identifier derived from the canonical link; equal on every run; 128 bits, so links of any number keep apart."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(canonical_url(url), 256), 1, 32))

@@ -75,12 +75,12 @@ def enrich_contacts(df: DataFrame, directory=lx.DIRECTORY) -> DataFrame:
         .when(post.isNotNull(), post).otherwise(proof),
         "proof_type": F.when(post.isNotNull(), "Direct Social Announcement Post")
         .when(kind.isNotNull() & (kind != "Official Announcement"), kind)
-        .when(F.lower(source).contains("ticket"), "Ticketsmarche Verified Registry")
+        .when(F.lower(source).contains("ticket"), "Ticket Feed Listing")
         .otherwise("Official Organizer Announcement"),
         "proof_evidence": F.when(post.isNotNull(), F.concat(
-            F.lit("Direct announcement post verified via "), F.coalesce(blank_to_null(source), F.lit("Social Channel"))))
+            F.lit("Direct announcement post via "), F.coalesce(blank_to_null(source), F.lit("Social Channel"))))
         .otherwise(F.coalesce(evidence, F.concat(
-            F.lit("Verified public event listing via "),
+            F.lit("Public event listing via "),
             F.coalesce(blank_to_null(source), F.lit("Official Channel"))))),
     }).select(*keep)
 

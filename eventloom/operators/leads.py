@@ -12,8 +12,6 @@ from .. import lexicon as lx
 from ..functions.patterns import blank_to_null, text
 from ..functions.urls import percent_encode
 
-MAX_EVENTS = 40
-
 
 def target_event(events: DataFrame, event_id: str) -> DataFrame:
     """The event with this id; a neutral default record when there is none."""
@@ -25,15 +23,16 @@ def target_event(events: DataFrame, event_id: str) -> DataFrame:
     return default.where(found.agg(F.count("*") == 0).scalar()).unionByName(found)
 
 
-def expand_roles(events: DataFrame, event_id: str | None = None, role: str | None = None, q: str | None = None) -> DataFrame:
-    """Event x role rows: the first 40 events with three roles each, or one event with all five."""
+def expand_roles(events: DataFrame, event_id: str | None = None, role: str | None = None, q: str | None = None,
+                 limit: int | None = None) -> DataFrame:
+    """Event x role rows: every event (or the first ``limit``) with three roles, or one event with all five."""
     single = bool(event_id) and event_id != "all"
     if single:
         # an unknown id falls back to the first event
         first = events.orderBy("seq").limit(1)
         hit = events.where(F.col("event_id") == event_id)
         events = hit.unionByName(first.where(hit.agg(F.count("*") == 0).scalar()))
-    chosen = events.orderBy("seq").limit(MAX_EVENTS)
+    chosen = events if limit is None else events.orderBy("seq").limit(limit)
     roles = [r for r in lx.ROLES if single or r[0] <= 3]
     if role and role.lower() != "all":
         roles = [r for r in roles if role.lower() in r[2] or role.lower() in r[1].lower()]

@@ -60,15 +60,14 @@ def query_terms(queries: DataFrame, qid: str = "qid", q: str = "q") -> DataFrame
 def search(index: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
     """Ranked hits (qid, id, score, rank): all prefixes required, BM25 with the prefix as one term.
 
-    ``queries`` is the small side (a batch of questions).  Question prefixes meet the vocabulary first, as an
-    equi-join on their leading characters; only matching terms reach the postings.  The document
+    Question prefixes meet the vocabulary first, as an equi-join on the whole prefix: each distinct term is cut to the
+    lengths that questions have; only matching terms reach the postings.  The document
     frequency of a prefix counts documents with any of its terms.
     """
-    terms = query_terms(queries)
-    lead = F.substring("term", 1, 1)
-    vocabulary = index.select("term").distinct().withColumn("lead", lead)
-    wanted = terms.withColumn("lead", F.substring("prefix", 1, 1))
-    hit_terms = (vocabulary.join(wanted, "lead").where(F.col("term").startswith(F.col("prefix")))
+    terms = query_terms(queries).withColumn("width", F.length("prefix"))
+    widths = terms.agg(F.sort_array(F.collect_set("width"))).scalar()  # a few numbers: lengths of words
+    vocabulary = index.select("term").distinct().withColumn("width", F.explode(widths)).where("width <= length(term)")
+    hit_terms = (vocabulary.withColumn("prefix", F.substr(F.col("term"), F.lit(1), F.col("width"))).join(terms, ["width", "prefix"])
                  .select("term", "qid", "pos", "prefix", "n_terms"))
     hits = index.join(hit_terms, "term").groupBy("qid", "pos", "n_terms", "id", "dl").agg(F.sum("tf").alias("tf"))
     freq = hits.groupBy("qid", "pos").agg(F.count("*").alias("df"))
@@ -77,7 +76,7 @@ def search(index: DataFrame, stats: DataFrame, queries: DataFrame, limit: int =
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     freq = freq.withColumns({"n_docs": n_docs, "avg_dl": avg_dl})
-    scored = (hits.join(F.broadcast(freq), ["qid", "pos"])  # one row per question word
+    scored = (hits.join(freq, ["qid", "pos"])
               .groupBy("qid", "n_terms", "id").agg(F.count("*").alias("_m"), F.sum(part).alias("score"))
               .where("_m = n_terms"))
     from .keyed import top_per_key

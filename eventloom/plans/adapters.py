@@ -165,7 +165,7 @@ JOIN (SELECT o_orderkey, o_orderdate AS d, substr(md5('a' || CAST(o_orderkey AS
 
 # Announcements from free text: title is the first line
 ANN = """
-SELECT doc_id AS seq, 'd' || CAST(doc_id AS STRING) AS event_id, substr(split_part(text, chr(10), 1), 1, 90) AS title,
+SELECT doc_id AS seq, 'd' || CAST(doc_id AS STRING) AS event_id, split_part(text, chr(10), 1) AS title,
   text AS description, source, lang AS city, source AS category, lang AS organizer, '' AS location,
   'https://www.example.org/d/' || CAST(doc_id AS STRING) AS url,
   CASE WHEN doc_id % 10 <> 0 THEN TIMESTAMP '2026-01-01 09:00:00' + CAST(n_chars % 360 AS INT) * INTERVAL 1 DAY END AS start_date
@@ -176,18 +176,8 @@ _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
            "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-_FACTS = ("orders", "lineitem", "events", "documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in _FACTS else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of fewer splits than cores (one small file) work for every core; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -173,7 +173,7 @@ _ROLE_VALUES = ", ".join(f"({o}, {S.q(n)}, {S.q(k)}, {m})" for o, n, k, m, _p, _
 
 
 @query("j4_lead_expansion", f"""SELECT 'lead_' || event_id || '_' || CAST(o AS VARCHAR) AS lead_id, role, organizer AS organization,
-  CAST(m AS DOUBLE) AS strategic_score FROM (SELECT * FROM ev ORDER BY seq LIMIT 40) CROSS JOIN (VALUES {_ROLE_VALUES}) r(o, role, k, m) WHERE o <= 3""")
+  CAST(m AS DOUBLE) AS strategic_score FROM ev CROSS JOIN (VALUES {_ROLE_VALUES}) r(o, role, k, m) WHERE o <= 3""")
 def _(spark, sf):
     return leads.expand_roles(full_ev(spark, sf)).select("lead_id", "role", "organization", "strategic_score")
 
@@ -184,7 +184,7 @@ def _(spark, sf):
     return leads.expand_roles(leads.target_event(full_ev(spark, sf), "ev77"), "ev77").select("lead_id", "role")
 
 
-@query("f20_lead_filter", f"""SELECT 'lead_' || event_id || '_' || CAST(o AS VARCHAR) AS lead_id FROM (SELECT * FROM ev ORDER BY seq LIMIT 40)
+@query("f20_lead_filter", f"""SELECT 'lead_' || event_id || '_' || CAST(o AS VARCHAR) AS lead_id FROM ev
   CROSS JOIN (VALUES {_ROLE_VALUES}) r(o, role, k, m) WHERE o <= 3 AND k = 'marketing' AND (contains(lower(title), 'summit') OR
   contains(lower(city), 'summit') OR contains(lower(organizer), 'summit') OR contains(lower(role), 'summit'))""")
 def _(spark, sf):
@@ -192,7 +192,7 @@ def _(spark, sf):
 
 
 @query("s15_lead_export", f"""SELECT 'lead_' || event_id || '_' || CAST(o AS VARCHAR) AS "Lead ID", role AS "Title", title AS "Event Title"
-  FROM (SELECT * FROM ev ORDER BY seq LIMIT 40) CROSS JOIN (VALUES {_ROLE_VALUES}) r(o, role, k, m) WHERE o <= 3""")
+  FROM ev CROSS JOIN (VALUES {_ROLE_VALUES}) r(o, role, k, m) WHERE o <= 3""")
 def _(spark, sf):
     return snapshots.lead_csv(leads.expand_roles(full_ev(spark, sf))).select("Lead ID", "Title", "Event Title")
 
@@ -214,7 +214,7 @@ _TOK = "regexp_extract_all(regexp_replace(strip_accents(lower(text)), '\\p{Mn}+'
 
 def _search_questions(spark, sf):
     b = A.table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("q"))
+    return b.select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
 
 
 def _doc_index(spark, sf):
@@ -228,7 +228,7 @@ def _(spark, sf):
 
 
 _BM25 = f"""WITH d AS (SELECT doc_id, {_TOK} AS toks FROM documents), n AS (SELECT count(*) AS n, avg(len(toks)) AS a FROM d),
-  w AS (SELECT item_id AS qid, unnest(list_filter(list_transform(list_slice(string_split(text, ' '), 1, 2),
+  w AS (SELECT item_id AS qid, unnest(list_filter(list_transform(string_split_regex(text, '\\s+'),
       lambda x: regexp_replace(strip_accents(lower(x)), '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: x <> '')) AS p FROM benchmark),
   w2 AS (SELECT qid, p, row_number() OVER (PARTITION BY qid) AS pos, count(*) OVER (PARTITION BY qid) AS k FROM w),
   t AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d), p AS (SELECT doc_id, dl, term, count(*) AS tf FROM t GROUP BY 1, 2, 3),
