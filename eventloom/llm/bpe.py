@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import named
 
 GEAR_BYTES, CUT_BITS = 8, 8  # a cut depends on the 8 bytes before it; a chunk has 256 bytes on average
-MOST_WORDS, MOST_CHUNK_BYTES = 300_000, 48 << 20  # of one task's memories; a full one is emptied
+MOST_WORDS, MOST_CHUNK_BYTES = 320_000, 24 << 20  # of one task's memories; a full one is emptied
 
 
 class ChunkCoder:
@@ -29,11 +29,13 @@ class ChunkCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = self.tokenizer.model
         self.mask = np.uint64((1 << cut_bits) - 1)
         rng = np.random.default_rng(8)
         self.gear = rng.integers(0, 1 << 63, 256, dtype=np.uint64)
         self.most_words, self.most_bytes = most_words, most_bytes
         self.words: dict[bytes, tuple[bytes, str]] = {}
+        self.pieces: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
         self.held = 0
 
@@ -56,15 +58,39 @@ class ChunkCoder:
         try:
             found = [known[w] for w in tokens]
         except KeyError:
-            if len(known) > self.most_words:
+            if len(known) > self.most_words // 2:
                 known.clear()
             for w in tokens:
                 if w not in known:
-                    ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
-                    known[w] = (array("I", ids).tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False))
+                    known[w] = self.word(w)
             found = [known[w] for w in tokens]
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
 
+    def word(self, body: bytes) -> tuple[bytes, str]:
+        """One word; marks after plain letters are a token run of their own, so the letters are shared by all such words."""
+        letters = body.rstrip(_MARKS)
+        if len(letters) < len(body):
+            text = letters.decode()
+            if text.isalpha() and max(text) < "\u0250" and (low := text.lower()).isalpha():
+                (a, b), (c, d) = self.piece(low, True), self.piece(body[len(letters):].decode())
+                return a + c, f"{b} {d}"
+        text = body.decode()
+        plain = text.isalpha() and max(text) < "\u0250" and (low := text.lower()).isalpha()
+        return self.piece(low, True) if plain else self.piece(text)
+
+    def piece(self, text: str, plain: bool = False) -> tuple[bytes, str]:
+        """``plain``: lower-case Latin letters, which the normalizer and the pre-tokenizer leave whole, go to the merges at once."""
+        got = self.pieces.get(text)
+        if got is None:
+            if len(self.pieces) > self.most_words:
+                self.pieces.clear()
+            if plain:
+                ids = [t.id for t in self.merges.tokenize(text if text.isascii() else "".join([_OCTETS[b] for b in text.encode()]))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            got = self.pieces[text] = (array("I", ids).tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False))
+        return got
+
     def inner(self, chunk: bytes) -> tuple[bytes, bytes, bytes, str] | None:
         """Head, tail, ids and text of what lies between the first and the last white space of a chunk; None if it has none."""
         got = self.chunks.get(chunk, False)
@@ -110,6 +136,10 @@ class ChunkCoder:
         return b"".join(ids), " ".join(texts)
 
 
+_MARKS = b".,;:!?%&*$#()"  # none of them joins the letters before it under the vocabulary's pattern
+# How byte-level vocabularies write octets: printable ones as themselves, the rest from 256 on in order
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OCTETS = [chr(b if b in _SHOWN else 256 + sum(k not in _SHOWN for k in range(b))) for b in range(256)]
 _SPACED = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
 
 
