@@ -1,9 +1,11 @@
-"""Session helpers."""
+"""Session helpers: local sessions, and written tables that cut lineage."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +37,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
 
 
+class Scratch:
+    """Written tables that cut lineage, in the folder that the session names in ``spark.checkpoint.dir``.
+
+    ``keep`` writes a frame and reads it again; ``drop`` deletes tables no longer needed and ``release`` lets the driver free the
+    shuffle files of frames that are gone. The last table of a job stays, for its result is read lazily.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.root = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        self.kept: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.kept)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for df in frames:
+            path = jvm.org.apache.hadoop.fs.Path(next(p for d, p in self.kept if d is df))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Ask the driver for a garbage collection, after which Spark deletes shuffle files of finished steps."""
+        gc.collect()  # the driver's handles on finished plans first
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the reliable checkpoint folder and read it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame to the shared folder as Parquet and read it back, with its columns' layout and statistics."""
+    return Scratch(df.sparkSession).keep(df)
