@@ -1,15 +1,17 @@
-"""What several operators share: reading tables, scratch tables in the shared folder, connected components."""
+"""What several operators share; scratch tables and connected components are those of the library."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..operators.components import components
+from ..session import Scratch
+
+__all__ = ["LOWER", "SPACES", "UPPER", "Scratch", "components", "named", "read", "spanning_edges", "words_in_blocks"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
@@ -24,39 +26,6 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-class Scratch:
-    """Written tables that cut lineage, in the folder that the session names in ``spark.checkpoint.dir``.
-
-    ``keep`` writes a frame and reads it again; ``drop`` deletes tables no longer needed and lets the driver release the shuffle files
-    of frames that are gone. The last table of an operator stays, for its result is read lazily.
-    """
-
-    def __init__(self, spark: SparkSession):
-        ensure_checkpoint_dir(spark)
-        self.spark = spark
-        self.root = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-
-    def keep(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        self._kept = [*getattr(self, "_kept", []), out]
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def release(self) -> None:
-        """Ask the driver for a garbage collection, after which Spark deletes shuffle files of finished steps."""
-        self.spark.sparkContext._jvm.System.gc()
-
-
 def words_in_blocks(texts: Iterable[tuple], most: int = 500_000) -> Iterator[list[tuple]]:
     """Group (key, words) pairs so that a block holds about ``most`` words; one document is never cut."""
     block, held = [], 0
@@ -82,37 +51,3 @@ def spanning_edges(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np
             parent = up
     child = np.nonzero(parent != np.arange(n))[0]
     return child, parent[child]
-
-
-def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of all nodes with a link, component being the smallest node reachable.
-
-    ``edges`` has longs u and v, neither null. Alternating large-star and small-star rounds; each is a partial aggregate and an
-    equi-join on the node, so a hub is split by adaptive execution. Rounds end when the links no longer change.
-    """
-    def swept(df: DataFrame) -> DataFrame:
-        return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    def mark(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long")).alias("h")).first()
-        return row["n"], row["h"]
-
-    now = scratch.keep(swept(edges.select("u", "v")))
-    seen = mark(now)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = scratch.keep(swept(both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))))
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = scratch.keep(swept(small.union(low.select(F.col("k").alias("u"), F.col("m").alias("v")))))
-        scratch.drop(now, large)
-        now, before, seen = after, seen, mark(after)
-        if seen == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
