@@ -179,7 +179,7 @@ def display_end(col: Column, default_year: int, client: bool = False) -> Column:
             name = grab(s, pattern, month)
             if other is not None:
                 name = F.when(name == "", grab(s, pattern, other)).otherwise(name)
-            return _date(year, month_number(name), grab(s, pattern, number))
+            return F.when(matches(s, pattern), _date(year, month_number(name), grab(s, pattern, number)))
 
         return F.coalesce(attempt(RANGE_CROSS, 3, 2), attempt(RANGE_THREE, 4, 3), attempt(RANGE_TWO, 3, 2),
                           attempt(RANGE_MONTH, 2, 3, 1), attempt(SINGLE_DAY, 2, 1), attempt(single_month, 1, 2))

@@ -63,6 +63,11 @@ def with_sequence(df: DataFrame, order: list[str], name: str = "seq") -> DataFra
             .withColumn(name, (F.col("_before") + F.col("_rn")).cast("long")).drop("_pid", "_rn", "_before"))
 
 
+def with_place(page: DataFrame, name: str = "place") -> DataFrame:
+    """The places 1..n of a served page, a sorted frame that ``limit`` has cut to what one task holds."""
+    return page.coalesce(1).withColumn(name, (F.monotonically_increasing_id() + 1).cast("int"))
+
+
 def anti_by_any(rows: DataFrame, known: DataFrame, pairs: dict[str, str]) -> DataFrame:
     """Rows that match ``known`` on none of several keys: one anti join per key, never one OR join.
 

@@ -292,6 +292,11 @@ for _how, _ord in {"score_desc": "score DESC", "date_asc": "start_date"}.items()
         lambda spark, sf, h=_how: views.sort_events(ev(spark, sf), h).select("event_id", "score"))
 
 
+for _how, _ord in {"score_desc": "score DESC NULLS LAST", "score_asc": "score NULLS FIRST", "date_asc": "start_date NULLS LAST"}.items():
+    query(f"o2_page_{_how}", f"SELECT event_id, CAST(row_number() OVER (ORDER BY {_ord}, event_id) AS INT) AS place FROM ev QUALIFY place <= 200")(
+        lambda spark, sf, h=_how: keyed.with_place(views.sort_events(ev(spark, sf), h).limit(200)).select("event_id", "place"))
+
+
 @query("o1_timeline_top", """SELECT event_id, score FROM ev ORDER BY start_date NULLS LAST, score DESC, event_id LIMIT 100""")
 def _(spark, sf):
     return ev(spark, sf).orderBy(*views.timeline_order()).limit(100).select("event_id", "score")
@@ -615,19 +620,28 @@ def _(spark, sf):
 
 
 # ------------------------------------------------------------- resolution
-@query("j1_id_candidates", """SELECT c_nationkey AS k, count(*) - 1 AS n_later, min(c_custkey) AS first FROM customer
-  GROUP BY 1 HAVING count(*) > 1""")
+def _reposted(spark, sf, kinds):
+    """Every order as a record, then again with its id, with its link, or with neither; titles too short to be compared."""
+    o = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp_ntz").alias("start_date"))
+    again = o.crossJoin(spark.createDataFrame([(n,) for n in kinds], "n int"))  # one row of orders per kind
+    k = F.col("k").cast("string")
+    return again.select(
+        (F.col("k") * 4 + F.col("n")).alias("seq"), "start_date", F.lit("ab").alias("title"),
+        F.when(F.col("n") <= 1, F.concat(F.lit("k"), k)).otherwise(F.concat(F.lit("z"), F.col("n").cast("string"), k)).alias("event_id"),
+        F.when(F.col("n") == 0, F.concat(F.lit("https://x.org/o/"), k)).when(F.col("n") == 2, F.concat(F.lit("https://x.org/o/"), k, F.lit("?ref=2")))
+        .otherwise(F.concat(F.lit("https://x.org/n/"), F.col("n").cast("string"), F.lit("/"), k)).alias("url"))
+
+
+@query("j1_id_candidates", """SELECT o_orderkey * 4 + n AS seq, CASE WHEN n = 3 THEN o_orderkey * 4 + 3 ELSE o_orderkey * 4 END AS leader,
+  CASE n WHEN 1 THEN 'id' ELSE 'founder' END AS via FROM orders, (VALUES (0), (1), (3)) t(n)""")
 def _(spark, sf):
-    c = A.table(spark, sf, "customer")
-    return (c.groupBy(F.col("c_nationkey").alias("k")).agg((F.count("*") - 1).alias("n_later"),
-                                                           F.min("c_custkey").alias("first")).where("n_later > 0"))
+    return resolve.resolve(_reposted(spark, sf, (0, 1, 3)))
 
 
-@query("j2_link_candidates", f"""SELECT link, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, {_CANON} AS link FROM pages)
-  GROUP BY link HAVING count(*) > 1""")
+@query("j2_link_candidates", """SELECT o_orderkey * 4 + n AS seq, CASE WHEN n = 3 THEN o_orderkey * 4 + 3 ELSE o_orderkey * 4 END AS leader,
+  CASE n WHEN 2 THEN 'link' ELSE 'founder' END AS via FROM orders, (VALUES (0), (2), (3)) t(n)""")
 def _(spark, sf):
-    p = A.table(spark, sf, "pages").withColumn("link", U.canonical_url(F.col("url")))
-    return p.groupBy("link").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
+    return resolve.resolve(_reposted(spark, sf, (0, 2, 3)))
 
 
 _ANN_TOKENS = f"list_distinct(string_split({_sql_tokens('title', ' ', lx.FUZZY_NOISE, 1)}, ' '))"

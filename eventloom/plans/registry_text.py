@@ -246,7 +246,8 @@ def _(spark, sf):
     return hits.groupBy("qid").agg(F.count("*").alias("n_hits"), F.round(F.max("score"), 4).alias("best"))
 
 
-@query("q2_ranked_search_top")
+@query("q2_ranked_search_top", _BM25 + """ SELECT qid, doc_id AS id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid
+  ORDER BY round(score, 6) DESC, doc_id) AS INT) AS rank FROM s WHERE m = k QUALIFY rank <= 50""")
 def _(spark, sf):
     docs = A.table(spark, sf, "documents")
     return search.search(_doc_index(spark, sf), search.corpus(docs, fields=("text",)), _search_questions(spark, sf))
@@ -307,16 +308,17 @@ def _(spark, sf):
     return kept.select("event_id")
 
 
-@query("j9_title_repair", """SELECT event_id, title FROM ev WHERE seq % 4 = 1""")
+@query("j9_title_repair", """SELECT 'c' || event_id AS event_id, title FROM ev WHERE seq % 4 = 1
+  UNION ALL SELECT event_id, title FROM ev WHERE seq % 4 = 2 UNION ALL SELECT event_id, title || ' own' FROM ev WHERE seq % 4 = 3""")
 def _(spark, sf):
     e = full_ev(spark, sf)
-    custom = e.where("seq % 4 = 1").withColumns({"title": F.lit("Interested"), "event_id": F.concat(F.lit("c"), "event_id")})
-    good = snapshots.merge_custom(e.withColumn("url", F.concat("url", F.lit("&y"))).where("seq < 0").unionByName(
-        e.where("seq % 4 = 1").withColumn("event_id", F.lit("k"))), custom)
-    # every repaired row is then known by link: compare the repaired titles themselves
-    repaired = custom.drop("title").join(e.select("url", "title"), "url")
-    return repaired.join(good.select("event_id"), "event_id", "left_anti").select(
-        F.expr("substr(event_id, 2)").alias("event_id"), "title")
+    kind, bad = F.col("seq") % 4, F.lit("Interested")
+    custom = e.where(kind > 0).withColumns({
+        "title": F.when(kind == 3, F.concat("title", F.lit(" own"))).otherwise(bad),
+        "event_id": F.when(kind == 1, F.concat(F.lit("c"), "event_id")).otherwise(F.col("event_id")),
+        "url": F.when(kind == 2, F.lit("#")).otherwise(F.col("url"))})
+    later = e.withColumns({"seq": F.col("seq") + 10_000_000, "title": F.concat("title", F.lit(" later"))})  # the first in order counts
+    return snapshots.repair_titles(e.unionByName(later), custom).select("event_id", "title")
 
 
 @query("u_all_bag_union", "SELECT source, count(*) * 2 AS n FROM ev GROUP BY source")

@@ -47,21 +47,19 @@ def ld_items(pages: DataFrame) -> DataFrame:
     blocks = (pages.select(F.col("url").alias("page_url"), F.posexplode(F.regexp_extract_all(
         "html", F.lit(_SCRIPT), F.lit(1))).alias("block", "raw")).withColumn("v", F.try_parse_json("raw"))
         .where("v IS NOT NULL"))
-    tops = blocks.where(F.schema_of_variant("v").startswith("OBJECT")).select("page_url", "block", F.lit(0).alias("top"), "v")
-    listed = _explode(blocks.where(F.schema_of_variant("v").startswith("ARRAY")), "v", "page_url", "block").select(
-        "page_url", "block", F.col("pos").alias("top"), F.col("value").alias("v"))
-    every = tops.unionByName(listed).where(F.schema_of_variant("v").startswith("OBJECT"))
-    every = every.withColumn("elements", F.try_variant_get("v", "$.itemListElement", "variant"))
-    inner = _explode(every.where("elements IS NOT NULL"), "elements", "page_url", "block", "top").select(
-        "page_url", "block", "top", F.col("pos").alias("pos"), F.coalesce(
-            F.try_variant_get("value", "$.item", "variant"), F.col("value")).alias("item"))
-    single = every.where("elements IS NULL").select("page_url", "block", "top", F.lit(0).alias("pos"), F.col("v").alias("item"))
-    return inner.withColumn("listed", F.lit(True)).unionByName(single.withColumn("listed", F.lit(False)))
-
-
-def _explode(df: DataFrame, column: str, *keep: str) -> DataFrame:
-    arr = F.try_variant_get(F.col(column), "$", "array<variant>")
-    return df.select(*keep, F.posexplode(arr).alias("pos", "value"))
+    # a single value is wrapped like a list of one, so one pass over the pages serves every shape
+    every = (blocks.select("page_url", "block", F.posexplode(_list_of("v")).alias("top", "v"))
+             .where(F.schema_of_variant("v").startswith("OBJECT"))
+             .withColumn("elements", F.try_variant_get("v", "$.itemListElement", "variant")))
+    listed = F.col("elements").isNotNull()
+    parts = F.when(listed, F.try_variant_get("elements", "$", "array<variant>")).otherwise(F.array("v"))
+    return every.select("page_url", "block", "top", listed.alias("listed"), F.posexplode(parts).alias("pos", "value")).select(
+        "page_url", "block", "top", "pos", F.when(F.col("listed"), F.coalesce(
+            F.try_variant_get("value", "$.item", "variant"), F.col("value"))).otherwise(F.col("value")).alias("item"), "listed")
+
+
+def _list_of(column: str) -> Column:
+    return F.when(F.schema_of_variant(column).startswith("ARRAY"), F.try_variant_get(F.col(column), "$", "array<variant>")).otherwise(F.array(column))
 
 
 def _offers_free(feed: Feed) -> Column:
