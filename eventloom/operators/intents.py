@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,31 +99,35 @@ def _category_fits(want: Column) -> Column:
     return fits
 
 
-def apply_intents(events: DataFrame, questions: DataFrame, max_questions: int = 10_000) -> DataFrame:
+def apply_intents(events: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, event_id) for every event that fits a question's intent.
 
-    ``questions`` (qid, intent) is a batch typed by people: at most about ``max_questions`` of them are broadcast at a
-    time and the events stay where they are, so nothing is shuffled.
+    Questions (qid, intent) are reduced to distinct intents. City, month and priority are closed lists, so an event is repeated for each
+    value that it would satisfy and for "not asked", and meets the intents by an equi-join on the three; category, price, clash and
+    free words are then checked on the few pairs left. The hits go back to the questions by another equi-join.
     """
+    asked = questions.where(F.col("intent").isNotNull()).select("qid", "intent").withColumn("_iid", F.md5(F.to_json("intent")))
+    none = F.lit("")
+    intents = asked.groupBy("_iid").agg(F.first("intent").alias("intent")).withColumns({
+        f"_{k}": F.coalesce(f"intent.{k}", none) for k in ("city", "month", "priority")})
+
+    def fitting(col: Column, values) -> Column:
+        return F.explode(F.array_compact(F.array(none, *[F.when(col.contains(v), F.lit(v)) for v in values])))
+
+    spread = (events.withColumn("_city", fitting(_low("city"), [c for c, _ in lx.INTENT_CITIES]))
+              .withColumn("_month", fitting(F.upper(text(F.col("date_display"))), dict.fromkeys(m[:3].upper() for m in lx.INTENT_MONTHS)))
+              .withColumn("_priority", F.explode(F.array_distinct(F.array(none, F.upper(text(F.col("priority"))))))))
     i = "intent."
-    asked = questions.where(F.col("intent").isNotNull()).select("qid", "intent")
     free = (_low("ticket_type").contains("free") | _low("description").contains("free")
             | (text(F.col("ticket_type")) == "") | _low("ticket_type").contains("zero"))
     residual = F.lower(F.col(i + "residual"))
     text_hit = (F.contains(_low("title"), residual) | F.contains(_low("description"), residual)
                 | F.contains(_low("location"), residual))
     rest = ((F.col(i + "category").isNull() | _category_fits(F.col(i + "category")))
-            & (~F.col(i + "is_free") | free)
-            & (F.col(i + "priority").isNull() | (F.upper(text(F.col("priority"))) == F.col(i + "priority")))
-            & (~F.col(i + "has_clash") | F.coalesce(F.col("clash_warning"), F.lit(False)))
-            & (F.col(i + "month").isNull() | F.contains(F.upper(text(F.col("date_display"))), F.col(i + "month")))
+            & (~F.col(i + "is_free") | free) & (~F.col(i + "has_clash") | F.coalesce(F.col("clash_warning"), F.lit(False)))
             & ((residual == "") | text_hit))
-    in_city = F.col(i + "city").isNull() | F.contains(_low("city"), F.col(i + "city"))
-    # one pass per chunk of questions, each small enough to broadcast
-    chunks = max(1, -(-asked.count() // max_questions))
-    hits = [events.join(F.broadcast(asked.where(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == k)), in_city & rest)
-            .select("qid", "event_id") for k in range(chunks)]
-    return reduce(DataFrame.unionByName, hits)
+    hits = spread.join(intents, ["_city", "_month", "_priority"]).where(rest).select("_iid", "event_id")
+    return hits.join(asked.select("_iid", "qid"), "_iid").select("qid", "event_id")
 
 
 __all__ = ["apply_intents", "parse_questions"]

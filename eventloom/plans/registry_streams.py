@@ -60,8 +60,12 @@ def _(spark, sf):
 @query("r4_expiry_alerts", """SELECT CAST(user_id AS VARCHAR) AS event_id FROM events GROUP BY user_id
   HAVING max(ts) + INTERVAL 7 HOUR <= (SELECT max(ts) FROM events)""")
 def _(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     e = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("event_id"),
                                             F.col("ts").cast("timestamp").alias("start_ts"))
-    return _run(intake.expiry_alerts(e), "append").select("event_id")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it
+    try:
+        return _run(intake.expiry_alerts(e), "append").select("event_id")
+    finally:
+        spark.conf.set(provider, before)
