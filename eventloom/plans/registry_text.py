@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
@@ -400,6 +403,51 @@ def _(spark, sf):
     return jobs.purge(ev(spark, sf), A.REF_NOW).select("event_id")
 
 
+_HEX = ("substr(md5('a' || {k}), 1, 8) || ' ' || substr(md5('b' || {k}), 1, 8) || ' ' || substr(md5('c' || {k}), 1, 8) || ' ' || "
+        "substr(md5('d' || {k}), 1, 8) || ' ' || substr(md5('e' || {k}), 1, 6)").format(k="CAST(o_orderkey AS STRING)")
+
+
+def _known(spark, sf, arms):
+    """One record per order and arm (source, title, url, start), whose fate is known by construction."""
+    o = A.table(spark, sf, "orders")
+    parts = [o.select((F.col("o_orderkey") * 8 + n + 1).alias("seq"), F.expr(f"'p' || CAST(o_orderkey * 8 + {n} AS STRING)").alias("event_id"),
+                      F.expr(title).alias("title"), F.lit(source).alias("source"), F.expr(url).alias("url"), F.expr(start).alias("start_date"),
+                      F.lit("Tanta").alias("city"), F.lit("Egypt").alias("country"), F.lit("plain").alias("description"), F.lit("Hall 1").alias("location"),
+                      F.lit("").alias("date_display")) for n, (source, title, url, start) in enumerate(arms)]
+    return [conform(p, "seq") for p in parts]
+
+
+_SOON = "CAST(DATE '2023-07-01' + CAST(o_orderkey % 150 AS INT) AS TIMESTAMP_NTZ)"
+_PAGE = "'https://www.example.org/k/' || CAST(o_orderkey AS STRING)"
+
+
+@query("e2_client_dedup", f"""SELECT 'p' || CAST(o_orderkey * 8 AS VARCHAR) AS event_id, {_HEX.replace('STRING', 'VARCHAR')} AS title FROM orders""")
+def _(spark, sf):
+    arms = [("Eventbrite", _HEX, _PAGE, _SOON), ("AllEvents", _HEX + " || ' annual edition'", _PAGE + " || '/copy'", _SOON),
+            ("AllEvents", "'Null'", "''", _SOON), ("AllEvents", "reverse(" + _HEX + ")", _PAGE + " || '/old'", "TIMESTAMP_NTZ '2020-01-01 09:00:00'"),
+            ("Meetup", "reverse(" + _HEX + ")", _PAGE + " || '?utm_source=z'", _SOON)]
+    rows = reduce(DataFrame.unionByName, _known(spark, sf, arms))
+    return jobs.deduplicate_client(rows, A.REF_NOW).select("event_id", "title")
+
+
+@query("b1_known_pass", f"""SELECT 'p' || CAST(o_orderkey * 8 AS VARCHAR) AS event_id, {_HEX.replace('STRING', 'VARCHAR')} || ' annual edition' AS title,
+  'Eventbrite, AllEvents' AS source, strftime(DATE '2023-07-01' + CAST(o_orderkey % 150 AS INT), '%Y-%m-%d') AS start_day FROM orders""")
+def _(spark, sf):
+    arms = [("Eventbrite", _HEX, _PAGE, _SOON), ("AllEvents", _HEX + " || ' annual edition'", _PAGE + " || '/copy'", _SOON),
+            ("AllEvents", "reverse(" + _HEX + ")", _PAGE + " || '/far'", "TIMESTAMP_NTZ '2030-01-01 09:00:00'")]
+    out = jobs.full_pass([p.drop("seq") for p in _known(spark, sf, arms)], A.REF_NOW)
+    return out.select("event_id", "title", "source", F.date_format("start_date", "yyyy-MM-dd").alias("start_day"))
+
+
+@query("b2_known_pass", f"""SELECT 'p' || CAST(o_orderkey * 8 + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS event_id,
+  {_HEX.replace('STRING', 'VARCHAR')} || ' annual edition' AS title FROM orders""")
+def _(spark, sf):
+    stored, fresh = _known(spark, sf, [("Eventbrite", _HEX + " || ' annual edition'", _PAGE, _SOON), ("AllEvents", _HEX, _PAGE + " || '/copy'", _SOON)])
+    even = F.expr("CAST(substr(event_id, 2) AS BIGINT) DIV 8 % 2 = 0")
+    # even orders come fresh before their stored copy, odd ones are stored only
+    return jobs.incremental_pass(fresh.where(even), stored, A.REF_NOW).select("event_id", "title")
+
+
 @query("b1_full_pass")
 def _(spark, sf):
     e = ev(spark, sf)
