@@ -669,6 +669,23 @@ def _(spark, sf):
     return merge.merge_clusters(p, resolve.resolve(p)).select("seq", "n_members", "title", "priority", "score", "source")
 
 
+@query("a10_tag_union", """SELECT seq, CASE WHEN n >= 3 THEN 'Tag0|tag1|Tag2' WHEN n = 2 THEN 'Tag0|tag1' ELSE 'Tag0' END AS tags,
+  CASE WHEN n >= 2 THEN 'Tanta' ELSE 'Egypt' END AS city, CASE WHEN n >= 3 THEN 'p2' END AS post_direct_url, repeat('d', CAST(n AS INT)) AS description,
+  (n >= 4) AS is_social_first, n AS n_members
+  FROM (SELECT min(seq) AS seq, count(*) AS n FROM postings GROUP BY orderkey)""")
+def _(spark, sf):
+    p = A.view(spark, sf, A.POSTINGS)
+    n, none = F.col("seq") % 1000, F.lit(None).cast("string")
+    p = p.withColumns({
+        "tags": F.array(F.concat(F.when(n % 2 == 0, F.lit("Tag")).otherwise(F.lit("tag")), (n % 3).cast("string"))),
+        "city": F.when(n == 0, F.lit("Egypt")).when(n == 1, F.lit("Tanta")).otherwise(F.lit("Cairo")),
+        "post_direct_url": F.when(n >= 2, F.concat(F.lit("p"), n.cast("string"))).otherwise(none),
+        "description": F.repeat(F.lit("d"), (n + 1).cast("int")), "is_social_first": n == 3})
+    leaders = p.select("seq", (F.floor(F.col("seq") / 1000) * 1000).cast("long").alias("leader"))
+    out = merge.merge_clusters(conform(p, "seq"), leaders)
+    return out.select("seq", F.array_join("tags", "|").alias("tags"), "city", "post_direct_url", "description", "is_social_first", "n_members")
+
+
 @query("e1_resolve_announcements")
 def _(spark, sf):
     return resolve.resolve(ann(spark, sf))

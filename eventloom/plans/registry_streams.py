@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from ..sources import payload
+from ..sources import payload, snapshots
 from ..streaming import intake
 from . import adapters as A
-from .registry import query
+from .registry import ev, query
 
 
 def _scratch(spark) -> str:
@@ -69,3 +69,21 @@ def _(spark, sf):
         return _run(intake.expiry_alerts(e), "append").select("event_id")
     finally:
         spark.conf.set(provider, before)
+
+
+@query("s16_publish", """SELECT event_id, title, 2 AS n_copies FROM ev WHERE seq % 7 <> 0""")
+def _(spark, sf):
+    root = _scratch(spark)
+    rows = ev(spark, sf).select("event_id", F.when(F.col("seq") % 7 == 0, F.lit(" ")).otherwise(F.col("title")).alias("title"))
+    if not snapshots.publish(rows, [f"{root}/a", f"{root}/b"]) or snapshots.publish(rows.withColumn("title", F.lit("")), [f"{root}/a"]):
+        raise RuntimeError("a table of titles is published, one without is refused")
+    both = spark.read.parquet(f"{root}/a").unionByName(spark.read.parquet(f"{root}/b"))
+    return both.groupBy("event_id", "title").agg(F.count("*").cast("int").alias("n_copies"))
+
+
+@query("s17_versions", """SELECT event_id, title || ' second' AS title FROM ev WHERE seq % 3 <> 0""")
+def _(spark, sf):
+    root, rows = _scratch(spark), ev(spark, sf).select("event_id", "seq", "title")
+    snapshots.write_versioned(rows.select("event_id", "title"), root, "20230614T0900")
+    snapshots.write_versioned(rows.where("seq % 3 <> 0").select("event_id", F.concat("title", F.lit(" second")).alias("title")), root, "20230615T0900")
+    return snapshots.read_latest(spark, root)
