@@ -60,7 +60,7 @@ def matches(col: Column, pattern: str, ignore_case: bool = True) -> Column:
 
 def extract(col: Column, pattern: str, group: int = 0, ignore_case: bool = True) -> Column:
     """First match (or group) of a pattern, NULL when it does not occur or is empty."""
-    return let(grab(col, pattern, group, ignore_case), lambda m: F.when(m != "", m))
+    return F.nullif(grab(col, pattern, group, ignore_case), F.lit(""))
 
 
 def grab(col: Column, pattern: str, group: int = 0, ignore_case: bool = True) -> Column:
