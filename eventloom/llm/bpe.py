@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import named
 
 GEAR_BYTES, CUT_BITS = 8, 8  # a cut depends on the 8 bytes before it; a chunk has 256 bytes on average
-MOST_WORDS, MOST_CHUNK_BYTES = 320_000, 24 << 20  # of one task's memories; a full one is emptied
+MOST_WORDS, MOST_CHUNK_BYTES = 200_000, 24 << 20  # of one task's memories; a full one is emptied
+MOST_TEXT_BYTES = 4 << 20  # of texts whose results a task holds at once, beside one document
 
 
 class ChunkCoder:
@@ -143,28 +146,37 @@ _OCTETS = [chr(b if b in _SHOWN else 256 + sum(k not in _SHOWN for k in range(b)
 _SPACED = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
 
 
-def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ids (array<int>) and decoded (string) of every whole text; columns of these names are replaced.
+def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ids (array<int>) and decoded (string) of every whole text, replaced where they exist.
 
     ids equal ``encode(text, add_special_tokens=False).ids`` of the tokenizers library, decoded its
     ``decode(ids, skip_special_tokens=False)``. Null and empty texts have no ids and decode to the empty text. No shuffle: chunks are
-    shared by the documents of a task, whose memories are bounded. ``path`` must be readable on every worker.
+    shared by the documents of a task, whose memories are bounded, and results leave a task after every few megabytes of text.
+    ``path`` must be readable on every worker.
     """
-    @F.arrow_udf("ids array<int>, decoded string")
-    def code(texts: pa.Array) -> pa.Array:
-        coder = memo.get(path)
-        if coder is None:
-            coder = memo[path] = ChunkCoder(path)
-        ids, lengths, decoded = [], [0], []
-        for t in texts:
-            got, back = coder.code(t.as_buffer().to_pybytes() if t.is_valid else b"")
-            ids.append(got)
-            lengths.append(lengths[-1] + len(got) // 4)
-            decoded.append(back)
-        flat = np.frombuffer(b"".join(ids), np.uint32).view(np.int32)
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)), pa.array(decoded, pa.string())],
-                                          names=["ids", "decoded"])
-
-    memo: dict[str, ChunkCoder] = {}
-    out = docs.withColumn("__llm_bpe", code(F.col(text).cast("binary")))
-    return out.select(*[named(c) for c in docs.columns if c not in ("ids", "decoded")], "__llm_bpe.ids", "__llm_bpe.decoded")
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
+    plain = [f"c{k}" for k in range(len(names))]  # names with dots do not travel
+    sent = docs.select(*[named(c).alias(p) for c, p in zip(names, plain)], named(text).cast("binary").alias("body"))
+    schema = T.StructType([*sent.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = ChunkCoder(path)
+        for batch in batches:
+            bodies, low = batch.column(len(names)), 0
+            while low < batch.num_rows:
+                ids, lengths, decoded, high, size = [], [0], [], low, 0
+                while high < batch.num_rows and size < MOST_TEXT_BYTES:
+                    t = bodies[high]
+                    body = t.as_buffer().to_pybytes() if t.is_valid else b""
+                    got, back = coder.code(body)
+                    ids.append(got)
+                    lengths.append(lengths[-1] + len(got) // 4)
+                    decoded.append(back)
+                    high, size = high + 1, size + len(body)
+                flat = np.frombuffer(b"".join(ids), np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([*[c.slice(low, high - low) for c in batch.columns[:len(names)]],
+                                                  pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)), pa.array(decoded, pa.string())],
+                                                 names=[*plain, "ids", "decoded"])
+                low = high
+
+    return sent.mapInArrow(code, schema).select(*[F.col(p).alias(c) for c, p in zip(names, plain)], "ids", "decoded")
