@@ -179,5 +179,6 @@ def predict(docs: DataFrame, net: Net, text: str = "text", block: int = 512) ->
 
     state = dict(net.__dict__)
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("__llm_lang", identify(F.col(text).cast("binary"), letters))
+    # a filter on the result must not make the network run twice
+    out = docs.withColumn("__llm_lang", identify.asNondeterministic()(F.col(text).cast("binary"), letters))
     return out.select(*[named(c) for c in docs.columns if c not in ("lang_pred", "score")], "__llm_lang.lang_pred", "__llm_lang.score")
