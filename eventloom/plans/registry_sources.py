@@ -92,6 +92,14 @@ def _(spark, sf):
     return pages.resolve_pages(p, _NOW).select("url", "title", "organizer")
 
 
+@query("s7_resolve_all_pages", f"""SELECT 'https://pages.example/' || CAST(seq AS VARCHAR) AS url,
+  CASE seq % 4 WHEN 1 THEN 'x' WHEN 3 THEN 'Youth & Campus Event' ELSE title END AS title, CASE WHEN seq % 2 = 0 THEN organizer
+  ELSE 'Social Event Host' END AS organizer FROM ({_BASE})""")
+def _(spark, sf):
+    # listed items count like single ones; a page of cards has no metadata and gets the fallback
+    return pages.resolve_pages(event_pages(spark, sf), _NOW).select("url", "title", "organizer")
+
+
 @query("s8_nested_json", """SELECT CAST(seq AS VARCHAR) AS event_id, title, city AS location, 'Saturday, January 01, 2022' AS date_display FROM ev""")
 def _(spark, sf):
     c = F.col
