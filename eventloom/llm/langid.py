@@ -111,12 +111,13 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, windows: int = WINDOWS) -> Net:
     """A network from the rows of ``docs`` with an id, a text and a language, about ``sample`` documents a language (chosen by hash of the
-    id) and at most ``windows`` windows of each; only those windows reach the driver."""
+    id) and at most ``windows`` windows of each; only those windows reach the driver. Without such a row the network has no languages,
+    and ``predict`` gives ``und`` with score 0."""
     rows = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).alias("lang"), F.col(text).cast("binary").alias("body"), (F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / float(1 << 30)).alias("at"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not counts:
-        raise ValueError("no labelled text to learn a language from")
+        return Net([], np.zeros((256, EMBED), np.float32), [], [], np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
     languages = sorted(counts)
     share = F.element_at(F.create_map(*[x for c in languages for x in (F.lit(c), F.lit(min(1.0, sample / counts[c])))]), F.col("lang"))
 
@@ -141,9 +142,12 @@ def predict(docs: DataFrame, net: Net, text: str = "text", block: int = 512) ->
     """``docs`` with lang_pred and score, replaced where they exist, from the whole text alone.
 
     Windows of many documents go through the network in blocks of ``block``; a document's score is the mean probability of its best
-    language over its windows, weighted by their bytes. Null texts and texts without a letter are ``und`` with score 0. Rows are
-    independent and nothing is shuffled.
+    language over its windows, weighted by their bytes. Null texts and texts without a letter are ``und`` with score 0, and so are all
+    texts if the network has no languages. Rows are independent and nothing is shuffled.
     """
+    if not net.languages:
+        return docs.select(*[named(c) for c in docs.columns if c not in ("lang_pred", "score")], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+
     @F.arrow_udf("lang_pred string, score double")
     def identify(texts: pa.Array, lettered: pa.Array) -> pa.Array:
         own = Net(**state)
