@@ -22,18 +22,20 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     texts are one empty line and give the empty text. Rows that share an id count as one document; rows with a null id count for
     nothing and lose nothing. Repeated lines of one document count once and go or stay together. Empty tables give no rows.
 
-    Only (hash, id) pairs and the texts' own rows move: pairs are made distinct and counted by partial aggregates, so a line in a third
-    of all documents costs one pair each, and its join back is split by adaptive execution. The list beside a document has at most
-    as many hashes as it has lines.
+    Only (hash, id, hash of the text) and the texts' own rows move: they are made distinct and counted by partial aggregates, so a line
+    in a third of all documents costs one each, and its join back is split by adaptive execution. The list beside a row has at most
+    as many hashes as its own text has lines, however many rows share its id.
     """
+    row = F.xxhash64(text)  # rows of one id whose texts share it would share their drops, which are the id's
     line = F.translate(F.trim(F.col("line"), F.lit(SPACES)), UPPER, LOWER)
-    lines = (docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.explode(F.split(text, "\n")).alias("line"))
-             .where(F.length("line") >= min_chars).select("id", line.alias("line")).where(F.length("line") >= min_chars)
-             .select("id", F.unhex(F.md5(F.col("line").cast("binary"))).alias("hash")))
-    pairs = lines.distinct()
+    lines = (docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+             .select(F.col(key).alias("id"), row.alias("row"), F.explode(F.split(text, "\n")).alias("line"))
+             .where(F.length("line") >= min_chars).select("id", "row", line.alias("line")).where(F.length("line") >= min_chars)
+             .select("id", "row", F.unhex(F.md5(F.col("line").cast("binary"))).alias("hash")).distinct())
+    pairs = lines.select("hash", "id").distinct()
     frequent = (pairs.groupBy("hash").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("hash", "keeper"))
-    drops = (pairs.join(frequent, "hash").where("id <> keeper").groupBy("id").agg(F.collect_list("hash").alias("__llm_drops"))
-             .select(F.col("id").alias("__llm_id"), "__llm_drops"))
+    drops = (lines.join(frequent, "hash").where("id <> keeper").groupBy("id", "row").agg(F.collect_list("hash").alias("__llm_drops"))
+             .select(F.col("id").alias("__llm_id"), F.col("row").alias("__llm_row"), "__llm_drops"))
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def reassemble(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -55,7 +57,7 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
 
     table = str.maketrans(UPPER, LOWER)
     rest = docs.columns
-    joined = docs.join(drops.hint("shuffle_hash"), F.col(key) == F.col("__llm_id"), "left")
+    joined = docs.join(drops.hint("shuffle_hash"), (F.col(key) == F.col("__llm_id")) & (row == F.col("__llm_row")), "left")
     out = joined.withColumn("__llm_lines", reassemble(F.col(text), F.col("__llm_drops")))
     fixed = {text: F.col("__llm_lines.text")}
     return out.select(*[fixed.get(c, named(c)).alias(c) for c in rest if c not in ("n_lines", "n_dropped")],

@@ -111,8 +111,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     marked = scratch.keep(with_fingerprint(docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")), "_text").select("_id", "fp"))
     reps = marked.where("_id IS NOT NULL").groupBy("fp").agg(F.min("_id").alias("node"))
     # an id with several fingerprints ties their nodes together
-    twice = marked.where("_id IS NOT NULL").groupBy("_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.collect_set("fp").alias("all")).where("a <> b")
-    ties = (twice.select(F.col("_id").alias("u"), F.explode("all").alias("fp")).join(reps, "fp").select("u", F.col("node").alias("v")))
+    own = marked.where("_id IS NOT NULL").select("_id", "fp").distinct()
+    twice = own.groupBy("_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("_id")
+    ties = own.join(twice, "_id", "left_semi").select(F.col("_id").alias("u"), "fp").join(reps, "fp").select("u", F.col("node").alias("v"))
     found = components(scratch, links(scratch, reps, radius).union(ties))
     named = reps.join(found, "node", "left")
     named = named.select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component_id"))
