@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hnsw, langid, linededup, pii, sharding, simhash, substring, toxicity
-from .common import read
+from . import bpe, decontam, fim, hnsw, langid, linededup, pii, planes, sharding, simhash, substring, toxicity, turns
+from .common import Scratch, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", fold(4, 2))
     return langid.predict(docs.select("doc_id", "text", "held_out"), langid.fit(docs.where("NOT held_out"))).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    scratch, docs = Scratch(spark), read(spark, sf_dir, "documents").select("doc_id", "text")
+    files = scratch.keep(planes.write(docs, f"{scratch.root}/ids", public_tokenizers.path("byte_bpe_50k.json")))
+    back = planes.read(spark, files, docs.schema["doc_id"].dataType)
+    return back.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query(fim.sql())
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(fim.restored().cast("binary"), 256).alias("restored_sha256"))
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = turns.repair(turns.damage(read(spark, sf_dir, "conversations")), absent="absent")
+    return fixed.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                        F.sha2(F.col("repaired").cast("binary"), 256).alias("repaired_sha256"))
