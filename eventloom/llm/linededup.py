@@ -6,10 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, SPACES, UPPER, named
+from .common import LOWER, SPACES, UPPER, Scratch, named
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -22,43 +24,67 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     texts are one empty line and give the empty text. Rows that share an id count as one document; rows with a null id count for
     nothing and lose nothing. Repeated lines of one document count once and go or stay together. Empty tables give no rows.
 
-    Only (hash, id, hash of the text) and the texts' own rows move: they are made distinct and counted by partial aggregates, so a line
-    in a third of all documents costs one each, and its join back is split by adaptive execution. The list beside a row has at most
-    as many hashes as its own text has lines, however many rows share its id.
+    Every text is split and hashed once: each document gives one row (hash, id, hash of the text, positions) per distinct long line, which
+    is written. Distinct (hash, id) pairs are counted by partial aggregates, so a line in a third of all documents costs one each, and
+    the join back to the written rows is split by adaptive execution. Positions to drop travel to the texts, whose other lines are never
+    looked at again. The list beside a row has at most as many positions as its own text has lines, however many rows share its id.
+    A very long text is split whole, in one task.
     """
     row = F.xxhash64(text)  # rows of one id whose texts share it would share their drops, which are the id's
-    line = F.translate(F.trim(F.col("line"), F.lit(SPACES)), UPPER, LOWER)
-    lines = (docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-             .select(F.col(key).alias("id"), row.alias("row"), F.explode(F.split(text, "\n")).alias("line"))
-             .where(F.length("line") >= min_chars).select("id", "row", line.alias("line")).where(F.length("line") >= min_chars)
-             .select("id", "row", F.unhex(F.md5(F.col("line").cast("binary"))).alias("hash")).distinct())
+    sent = (docs.where(named(key).isNotNull() & named(text).isNotNull())
+            .select(named(key).alias("id"), row.alias("row"), named(text).cast("binary").alias("body")))
+    schema = T.StructType([*sent.schema.fields[:2], T.StructField("hash", T.BinaryType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spaces, md5 = SPACES.encode(), hashlib.md5
+        for batch in batches:
+            owner, hashes, lengths, places, size = [], [], [0], [], 0
+            for k, t in enumerate(batch.column(2)):
+                body, found = t.as_buffer().to_pybytes(), {}
+                for place, line in enumerate(body.split(b"\n")):
+                    if len(line) >= min_chars and len(bare := line.strip(spaces)) >= min_chars and (
+                            len(bare) >= 4 * min_chars or len(bare.decode()) >= min_chars):
+                        found.setdefault(md5(bare.lower()).digest(), []).append(place)
+                for h, at in found.items():
+                    hashes.append(h)
+                    places += at
+                    lengths.append(len(places))
+                owner += [k] * len(found)
+                size += len(found)
+                if size >= 100_000 or k == batch.num_rows - 1:
+                    keys = [c.take(pa.array(owner, pa.int32())) for c in batch.columns[:2]]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(hashes, pa.binary()), pa.ListArray.from_arrays(
+                        pa.array(lengths, pa.int32()), pa.array(places, pa.int32()))], names=["id", "row", "hash", "places"])
+                    owner, hashes, lengths, places, size = [], [], [0], [], 0
+
+    scratch = Scratch(docs.sparkSession)
+    lines = scratch.keep(sent.mapInArrow(hashed, schema))
     pairs = lines.select("hash", "id").distinct()
-    frequent = (pairs.groupBy("hash").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("hash", "keeper"))
-    drops = (lines.join(frequent, "hash").where("id <> keeper").groupBy("id", "row").agg(F.collect_list("hash").alias("__llm_drops"))
+    frequent = pairs.groupBy("hash").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("hash", "keeper")
+    drops = (lines.join(frequent, "hash").where("id <> keeper").dropDuplicates(["id", "row", "hash"])
+             .groupBy("id", "row").agg(F.flatten(F.collect_list("places")).alias("__llm_drops"))
              .select(F.col("id").alias("__llm_id"), F.col("row").alias("__llm_row"), "__llm_drops"))
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def reassemble(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, dropped in columns:
             kept, n_lines, n_dropped = [], [], []
-            for body, hashes in zip(texts, dropped):
-                rows = (body or "").split("\n")
-                n_lines.append(len(rows))
-                if hashes is not None and len(hashes):
-                    gone = {bytes(h) for h in hashes}
-                    stay = [r for r in rows if len(r) < min_chars or len(k := r.strip(SPACES).translate(table)) < min_chars
-                            or hashlib.md5(k.encode()).digest() not in gone]
-                    n_dropped.append(len(rows) - len(stay))
-                    rows = stay
+            for body, places in zip(texts, dropped):
+                body = body or ""
+                if places is not None and len(places):
+                    rows, gone = body.split("\n"), set(places.tolist())
+                    n_lines.append(len(rows))
+                    n_dropped.append(len(gone))
+                    body = "\n".join([r for k, r in enumerate(rows) if k not in gone])
                 else:
+                    n_lines.append(body.count("\n") + 1)
                     n_dropped.append(0)
-                kept.append("\n".join(rows))
+                kept.append(body)
             yield pd.DataFrame({"text": kept, "n_lines": n_lines, "n_dropped": n_dropped})
 
-    table = str.maketrans(UPPER, LOWER)
     rest = docs.columns
-    joined = docs.join(drops.hint("shuffle_hash"), (F.col(key) == F.col("__llm_id")) & (row == F.col("__llm_row")), "left")
-    out = joined.withColumn("__llm_lines", reassemble(F.col(text), F.col("__llm_drops")))
+    joined = docs.join(drops, (named(key) == F.col("__llm_id")) & (row == F.col("__llm_row")), "left")
+    out = joined.withColumn("__llm_lines", reassemble(named(text), F.col("__llm_drops")))
     fixed = {text: F.col("__llm_lines.text")}
     return out.select(*[fixed.get(c, named(c)).alias(c) for c in rest if c not in ("n_lines", "n_dropped")],
                       F.col("__llm_lines.n_lines").alias("n_lines"), F.col("__llm_lines.n_dropped").alias("n_dropped"))
