@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,20 @@ STAGES: list[tuple[str, Stage]] = [("language_id", language), ("line_dedup", lin
 ORACLE_SQL = None  # trained networks, fingerprints and merges have no SQL; tests hold the stages against brute force
 
 
+def small_batches(stage: Stage) -> Stage:
+    """Whole texts go to Python workers a few megabytes at a time, so that their memory does not grow from stage to stage; the session
+    keeps the setting, for a stage's frame is evaluated later."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, small_batches(stage)) for name, stage in STAGES]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     scratch, docs = Scratch(spark), read(spark, sf_dir, "documents")
