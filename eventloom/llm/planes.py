@@ -22,7 +22,7 @@ from .common import named
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16  # ids of a chunk
 END_ID = 0
-MOST_PIECES, LONGEST_PIECE = 150_000, 32  # of a task's memory of encoded pieces, about 30 MB
+MOST_PIECES, LONGEST_PIECE = 300_000, 32  # of either half of a worker's memory of encoded pieces, about 60 MB each
 WINDOW = 1 << 20  # code points of a text that are cut into pieces at once
 MOST_OUT_BYTES = 4 << 20  # of ids that a reading task sends at once, beside one document
 
@@ -40,12 +40,13 @@ _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _OCTETS = [chr(b if b in _SHOWN else 256 + sum(k not in _SHOWN for k in range(b))) for b in range(256)]
 
 
-class Coder:
+class Coder(dict):
     """Whole texts to ids (little-endian unsigned 32-bit) with the tokenizers library.
 
     A byte-level pre-tokenizer cuts a text from left to right, and where it cuts depends on what follows only. So a text is cut into
-    pieces of whole tokens, and the ids of short pieces are remembered. Words go to the library's merges at once. Texts that contain an
-    added token, and files with another normalizer or pre-tokenizer, go to the library whole.
+    pieces of whole tokens, and the ids of short pieces are remembered: a full memory becomes the older half, from which pieces still in
+    use come back. Words go to the library's merges at once. Texts that contain an added token, and files with another normalizer or
+    pre-tokenizer, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -60,20 +61,23 @@ class Coder:
         by_pieces = (made.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True)
                      and not cutter.get("add_prefix_space") and made["model"]["type"] == "BPE" and not made["model"].get("ignore_merges"))
         self.whole = tuple(t["content"] for t in made.get("added_tokens", ())) if by_pieces else ("",)
-        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, piece: str) -> bytes:
-        if _WORD.fullmatch(piece):
-            ids = array("I", [t.id for t in self.merges.tokenize("".join([_OCTETS[b] for b in piece.encode()]))]).tobytes()
-        else:
-            ids = self._ids(piece)
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.older.get(piece)) is None:
+            if _WORD.fullmatch(piece):
+                spelled = piece.replace(" ", _OCTETS[32]) if piece.isascii() else "".join([_OCTETS[b] for b in piece.encode()])
+                ids = array("I", [t.id for t in self.merges.tokenize(spelled)]).tobytes()
+            else:
+                ids = self._ids(piece)
         if len(piece) <= LONGEST_PIECE:
-            if len(self.known) >= MOST_PIECES:
-                self.known.clear()
-            self.known[piece] = ids
+            if len(self) >= MOST_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
         return ids
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
@@ -92,10 +96,7 @@ class Coder:
     def encode(self, text: str) -> bytes:
         if any(mark in text for mark in self.whole):
             return self._ids(text)
-        known, learn, out = self.known.get, self._learn, []
-        for pieces in self._pieces(text):
-            out.append(b"".join([known(p) or learn(p) for p in pieces]))
-        return b"".join(out)
+        return b"".join([b"".join(map(self.__getitem__, pieces)) for pieces in self._pieces(text)])
 
 
 @lru_cache(1)
