@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.patterns import strip, text
+from ..session import cut_lineage
+from .keyed import top_per_key
 
 FIELDS = ("title", "description", "city", "location", "category", "organizer")
 K1, B = 1.2, 0.75
@@ -40,12 +43,6 @@ def corpus(df: DataFrame, id_col: str = "event_id", fields=FIELDS) -> DataFrame:
     return df.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avg_dl"))
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    """Store postings by first character, so a prefix question reads one folder only."""
-    (index.withColumn("lead", F.substring("term", 1, 1)).repartition("lead", "shard")
-     .sortWithinPartitions("term").write.partitionBy("lead").mode("overwrite").parquet(path))
-
-
 def query_terms(queries: DataFrame, qid: str = "qid", q: str = "q") -> DataFrame:
     """(qid, pos, prefix, n_terms): every word of a question is a prefix that must occur."""
     bare = F.filter(F.transform(F.split(strip(text(F.col(q))), r"\s+"),
@@ -57,29 +54,49 @@ def query_terms(queries: DataFrame, qid: str = "qid", q: str = "q") -> DataFrame
                            F.size(flat).alias("n_terms")))
 
 
-def search(index: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
+def search(index: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 50, vocabulary: DataFrame | None = None) -> DataFrame:
     """Ranked hits (qid, id, score, rank): all prefixes required, BM25 with the prefix as one term.
 
-    Question prefixes meet the vocabulary first, as an equi-join on the whole prefix: each distinct term is cut to the
-    lengths that questions have; only matching terms reach the postings.  The document
-    frequency of a prefix counts documents with any of its terms.
+    Every distinct prefix is looked up once for all questions: prefixes meet the vocabulary by an equi-join on the whole prefix (each
+    term is cut to the lengths that questions have), their terms the postings, and the hits (prefix, id, tf) are written. A question's
+    candidates are the documents of its rarest prefix; only they are looked up under its other prefixes, the next rarest first, so a
+    common word in many questions costs its postings once and not once a question. A prefix's document frequency counts documents with
+    any of its terms.
     """
-    terms = query_terms(queries).withColumn("width", F.length("prefix"))
-    widths = terms.agg(F.sort_array(F.collect_set("width"))).scalar()  # a few numbers: lengths of words
-    vocabulary = index.select("term").distinct().withColumn("width", F.explode(widths)).where("width <= length(term)")
-    hit_terms = (vocabulary.withColumn("prefix", F.substr(F.col("term"), F.lit(1), F.col("width"))).join(terms, ["width", "prefix"])
-                 .select("term", "qid", "pos", "prefix", "n_terms"))
-    hits = index.join(hit_terms, "term").groupBy("qid", "pos", "n_terms", "id", "dl").agg(F.sum("tf").alias("tf"))
-    freq = hits.groupBy("qid", "pos").agg(F.count("*").alias("df"))
+    terms = cut_lineage(query_terms(queries))
+    prefixes = terms.select("prefix").distinct().withColumn("width", F.length("prefix"))
+    widths = prefixes.agg(F.sort_array(F.collect_set("width"))).scalar()  # a few numbers: lengths of words
+    words = (vocabulary if vocabulary is not None else index.select("term").distinct()).withColumn("width", F.explode(widths)).where("width <= length(term)")
+    wanted = words.withColumn("prefix", F.substr(F.col("term"), F.lit(1), F.col("width"))).join(prefixes, ["width", "prefix"]).select("term", "prefix")
+    hits = cut_lineage(index.join(wanted, "term").groupBy("prefix", "id", "dl").agg(F.sum("tf").alias("tf")))
+    freq = cut_lineage(hits.groupBy("prefix").agg(F.count("*").alias("df")))
+    # place 1 is the rarest prefix of a question; one that has no document leaves the question without hits
+    rarity = W.partitionBy("qid").orderBy("df", "prefix")
+    asked = (terms.groupBy("qid", "prefix", "n_terms").agg(F.count("*").alias("times")).join(freq, "prefix", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+             .withColumn("place", F.row_number().over(rarity)).withColumn("n_prefixes", F.count("*").over(W.partitionBy("qid"))))
+    asked = cut_lineage(asked)
+
+    def under(places: Column, found: DataFrame | None) -> DataFrame:
+        """Hits (qid, id, prefix, ...) of the prefixes at some places, for found documents only."""
+        own = asked.where(places)
+        if found is None:
+            return own.join(hits, "prefix")
+        return found.join(own, "qid").join(hits, ["prefix", "id"])
+
+    def passed(rows: DataFrame, upto: Column) -> DataFrame:
+        return rows.groupBy("qid", "id").agg(F.count("*").alias("_m"), F.first(upto).alias("_n")).where("_m = _n").select("qid", "id")
+
+    first = cut_lineage(under(F.col("place") == 1, None).select("qid", "id"))
+    next_few = F.col("place").between(2, 4)
+    several = asked.where("n_prefixes > 1").select("qid").distinct()
+    near = passed(under(next_few, first.join(several, "qid", "left_semi")), F.least(F.col("n_prefixes") - 1, F.lit(3)))
+    candidates = cut_lineage(first.join(several, "qid", "left_anti").unionByName(near))
     n_docs, avg_dl = stats.select("n_docs").scalar(), stats.select("avg_dl").scalar()
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    freq = freq.withColumns({"n_docs": n_docs, "avg_dl": avg_dl})
-    scored = (hits.join(freq, ["qid", "pos"])
-              .groupBy("qid", "n_terms", "id").agg(F.count("*").alias("_m"), F.sum(part).alias("score"))
-              .where("_m = n_terms"))
-    from .keyed import top_per_key
+    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    full = under(F.lit(True), candidates).withColumns({"n_docs": n_docs, "avg_dl": avg_dl})
+    scored = (full.groupBy("qid", "id").agg(F.count("*").alias("_m"), F.first("n_prefixes").alias("_n"), F.sum(part).alias("score")).where("_m = _n"))
     ranked = top_per_key(scored.withColumn("score", F.round("score", 6)), ["qid"], [F.col("score").desc(), F.col("id")],
                          limit, rank="rank")
     return ranked.select("qid", "id", "score", "rank")

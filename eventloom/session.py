@@ -72,3 +72,17 @@ class Scratch:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder as Parquet and read it back, with its columns' layout and statistics."""
     return Scratch(df.sparkSession).keep(df)
+
+
+def whole_folders(spark: SparkSession, path: str, any_state: bool = False) -> list[str]:
+    """Names of the folders below a path that a Spark writer has finished, or of all."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(make(path)):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(make(path)) if s.isDirectory() and (any_state or fs.exists(make(s.getPath(), "_SUCCESS"))))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
