@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as lx
 from ..functions.patterns import any_of, blank_to_null, extract, first_label, matches, replace, text
 from ..functions.text import ascii_digits
+from .contains import digest, first_contained
 
 
 def _image(address: Column, suffixes=lx.IMAGE_SUFFIXES) -> Column:
@@ -49,14 +50,27 @@ def _directory_map(directory) -> Column:
     return F.create_map(*pairs)
 
 
+def _with_entry(df: DataFrame, hay: Column, directory) -> DataFrame:
+    """``df`` with the struct _d of the first directory entry whose key the text contains."""
+    if not isinstance(directory, DataFrame):  # a short list becomes an expression
+        return df.withColumn("_key", directory_key(hay, directory)).withColumn("_d", F.element_at(_directory_map(directory), F.col("_key")))
+    rows = df.withColumn("_hay", hay)
+    entries = first_contained(rows.select(F.col("_hay").alias("text")), directory)
+    kept = [n for n in ("email", "instagram", "linkedin", "phone", "name") if n in directory.columns]
+    entry = F.struct(*(F.col(n).cast("string").alias(n) for n in kept))
+    return rows.withColumn("_t", digest(F.col("_hay"))).join(entries.select(F.col("t").alias("_t"), F.col("key").alias("_key"), entry.alias("_d")), "_t", "left").drop("_t", "_hay")
+
+
 def enrich_contacts(df: DataFrame, directory=lx.DIRECTORY) -> DataFrame:
-    """Fill missing contacts from the directory, then from the text; choose the announcement link."""
+    """Fill missing contacts from the directory, then from the text; choose the announcement link.
+
+    ``directory``: a short list of (key, email, instagram, linkedin, phone) in order, or a frame of any size with these columns and ord.
+    """
     keep, c = df.columns, F.col
     hay = F.lower(F.concat_ws(" ", *(text(c(x)) for x in (
         "title", "organizer", "description", "raw_caption", "parallel_org"))))
     body = F.concat_ws(" ", text(c("description")), text(c("raw_caption")))
-    df = (df.withColumn("_key", directory_key(hay, directory))
-          .withColumns({"_d": F.element_at(_directory_map(directory), c("_key")), "_x": text_contacts(body)}))
+    df = _with_entry(df, hay, directory).withColumn("_x", text_contacts(body))
 
     def fill(own: str, name: str) -> Column:
         return F.coalesce(blank_to_null(c(own)), c(f"_d.{name}"), c(f"_x.{name}"))
@@ -86,15 +100,17 @@ def enrich_contacts(df: DataFrame, directory=lx.DIRECTORY) -> DataFrame:
 
 
 def enrich_client(df: DataFrame, directory=lx.DIRECTORY, names=lx.DIRECTORY_NAMES) -> DataFrame:
-    """Client variant: organiser label filled too, no LinkedIn extraction, phones without blanks."""
+    """Client variant: organiser label filled too (a frame has it as name), no LinkedIn extraction, phones without blanks."""
     keep, c = df.columns, F.col
-    tight = [(k, e, i, li, p.replace(" ", "") if p else None) for k, e, i, li, p in directory]
     hay = F.lower(F.concat_ws(" ", *(text(c(x)) for x in ("title", "organizer", "description", "parallel_org"))))
     body = text(c("description"))
-    label = F.create_map(*[F.lit(v) for pair in names for v in pair])
-    df = (df.withColumn("_key", directory_key(hay, tight))
-          .withColumns({"_d": F.element_at(_directory_map(tight), c("_key")),
-                        "_name": F.element_at(label, c("_key"))}))
+    if isinstance(directory, DataFrame):
+        df = _with_entry(df, hay, directory.withColumn("phone", F.replace("phone", F.lit(" "), F.lit(""))))
+        df = df.withColumn("_name", c("_d.name"))
+    else:
+        tight = [(k, e, i, li, p.replace(" ", "") if p else None) for k, e, i, li, p in directory]
+        label = F.create_map(*[F.lit(v) for pair in names for v in pair])
+        df = _with_entry(df, hay, tight).withColumn("_name", F.element_at(label, c("_key")))
     email = extract(body, lx.CAPTION_EMAIL, ignore_case=False)
     handle = extract(replace(body, lx.CAPTION_EMAIL, " ", ignore_case=False), lx.CAPTION_HANDLE, 1, ignore_case=False)
     fine = ~F.lower(handle).isin(*lx.MAIL_HOST_HANDLES) & ~matches(handle, r"\.(com|org|net|edu|gov|eg)$")

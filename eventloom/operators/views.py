@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as lx
 from ..functions.dates import display_end, epoch_micros
 from ..functions.patterns import any_of, contains_any, text
+from .contains import search_many
 
 
 def _is_all(value: str | None) -> bool:
@@ -74,7 +75,10 @@ def is_social(client: bool = False) -> Column:
     return F.coalesce(F.col("is_social_first"), F.lit(False)) | from_social(networks)
 
 
-def keyword(q: str, columns=("title", "location", "organizer", "description", "category")) -> Column:
+KEYWORD_FIELDS = ("title", "location", "organizer", "description", "category")
+
+
+def keyword(q: str, columns=KEYWORD_FIELDS) -> Column:
     return any_of(_low(c).contains(q.lower()) for c in columns)
 
 
@@ -201,6 +205,16 @@ def _ordered():
     return Window.orderBy("seq")  # over the k rows of the report only
 
 
+def keyword_many(df: DataFrame, questions: DataFrame, fields: tuple[str, ...] = KEYWORD_FIELDS) -> DataFrame:
+    """Every (question, record) pair of the keyword search, for any number of questions (``qid``, ``q``) at once.
+
+    A question must lie inside one field, so the fields are joined by a character that no question may contain.
+    """
+    hay = F.concat_ws("\x00", *(_low(f) for f in fields))
+    asked = questions.select("qid", F.lower(F.trim("q")).alias("_q")).where("_q <> ''").where(~F.col("_q").contains("\x00"))
+    return search_many(df, hay, asked, F.col("_q")).drop("_q")
+
+
 def quick_find(df: DataFrame, q: str, k: int = 6) -> DataFrame:
     return df.where(keyword(q, ("title", "city", "organizer"))).orderBy("seq").limit(k)
 
@@ -208,12 +222,16 @@ def quick_find(df: DataFrame, q: str, k: int = 6) -> DataFrame:
 def hub_rollup(df: DataFrame, hubs=lx.HUBS) -> DataFrame:
     """Events and flagship events per regional hub.
 
-    Cities are counted first; only the few distinct city names are compared with the hub list.
+    Cities are counted first; only the distinct city names are compared with the hubs: a short list, or a frame of any length with the
+    column hub.
     """
     flagship = (_low("category").contains("flagship") | _low("title").contains("techne")
                 | _low("title").contains("riseup"))
     per_city = df.groupBy(_low("city").alias("_city")).agg(
         F.count("*").alias("_n"), F.count_if(flagship).alias("_f"))
+    if isinstance(hubs, DataFrame):
+        met = search_many(per_city, F.col("_city"), hubs.select("hub").distinct(), F.col("hub"))
+        return met.groupBy("hub").agg(F.sum("_n").alias("n_events"), F.sum("_f").alias("n_flagship"))
     hit = F.filter(F.array(*map(F.lit, hubs)), lambda h: F.col("_city").contains(h))
     return (per_city.select(F.explode(hit).alias("hub"), "_n", "_f").groupBy("hub")
             .agg(F.sum("_n").alias("n_events"), F.sum("_f").alias("n_flagship")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions import captions as C
-from ..operators import enrich, intents, leads, score, search, segments
+from ..operators import contains, enrich, intents, leads, score, search, segments, views
 from ..schema import conform
 from ..session import Scratch
 from ..sources import payload, snapshots
@@ -98,6 +98,60 @@ def _(spark, sf):
 _CAPTION_DAY = """make_date(2026, CAST(extract(month FROM order_date) AS INT), CAST(extract(day FROM order_date) AS INT))"""
 
 
+# ------------------------------------------------------- containment joins
+@query("f8_keyword_search_many", """SELECT c_custkey AS qid, count(*) AS n_hits, min(seq) AS first_seq, max(seq) AS last_seq
+  FROM (SELECT seq, lower(title || chr(1) || location || chr(1) || organizer || chr(1) || description || chr(1) || category) AS hay FROM ev) h
+  JOIN (SELECT c_custkey, lower(c_mktsegment) || ' ' || CAST(c_custkey AS VARCHAR) AS k FROM customer) q ON contains(hay, k) GROUP BY c_custkey""")
+def _(spark, sf):
+    """A question per customer, put to all events at once."""
+    asked = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("qid"), F.concat_ws(" ", "c_mktsegment", F.col("c_custkey").cast("string")).alias("q"))
+    found = views.keyword_many(ev(spark, sf), asked)
+    return found.groupBy("qid").agg(F.count("*").alias("n_hits"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+@query("q3_words_in_documents", """WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name) || ' ' || lower(p_type), ' ')) AS word FROM part)
+  SELECT word, count(*) AS n_docs, min(doc_id) AS first_doc FROM w JOIN documents ON contains(lower(text), word) GROUP BY word""")
+def _(spark, sf):
+    """Every word of the parts' names and types as a substring of whole documents."""
+    words = A.table(spark, sf, "part").select(F.explode(F.split(F.concat_ws(" ", F.lower("p_name"), F.lower("p_type")), " ")).alias("word")).distinct()
+    found = contains.search_many(A.table(spark, sf, "documents").select("doc_id", "text"), F.lower("text"), words, F.col("word"))
+    return found.groupBy("word").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+_WIDE_HAY = "lower(title || ' ' || organizer || ' ' || description || ' ' || '' || ' ' || coalesce(parallel_org, ''))"
+
+
+@query("j5_directory_of_any_size", f"""SELECT event_id, 'o' || CAST(m.ord AS VARCHAR) || '@club.org' AS organizer_email FROM (SELECT event_id, {_WIDE_HAY} AS hay FROM ev) h
+  LEFT JOIN (SELECT hay, min(ord) AS ord FROM (SELECT DISTINCT {_WIDE_HAY} AS hay FROM ev) t
+    JOIN (SELECT lower(title) AS key, min(seq) AS ord FROM ev GROUP BY 1) e ON contains(hay, key) GROUP BY hay) m ON m.hay = h.hay""")
+def _(spark, sf):
+    """Every event's title is a directory key; the first in order that an event's text contains gives the address."""
+    e = full_ev(spark, sf)
+    address = F.concat(F.lit("o"), F.col("seq").cast("string"), F.lit("@club.org"))
+    directory = e.select(F.col("seq").alias("ord"), F.lower("title").alias("key"), address.alias("email"),
+                         *[F.lit(None).cast("string").alias(n) for n in ("instagram", "linkedin", "phone")])
+    return enrich.enrich_contacts(e, directory).select("event_id", "organizer_email")
+
+
+@query("j5b_client_directory_of_any_size", """SELECT event_id, 'Firm ' || CAST(c_custkey AS VARCHAR) AS organizer,
+  CAST(c_custkey AS VARCHAR) || '00' AS organizer_phone FROM ev JOIN customer ON organizer = c_name""")
+def _(spark, sf):
+    """Customers as the directory; their names stand in the events' descriptions."""
+    key = F.col("c_custkey").cast("string")
+    directory = A.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("ord"), F.lower("c_name").alias("key"), F.concat(F.lit("Firm "), key).alias("name"), F.concat(key, F.lit(" 00")).alias("phone"),
+        *[F.lit(None).cast("string").alias(n) for n in ("email", "instagram", "linkedin")])
+    events = full_ev(spark, sf).withColumn("description", F.concat_ws(" ", "description", F.lit("by"), "organizer")).withColumn("organizer", F.lit(""))
+    return enrich.enrich_client(events, directory).select("event_id", "organizer", "organizer_phone")
+
+
+@query("j11_hub_table", """SELECT lower(n_name) AS hub, count(*) AS n_events, count(*) FILTER (contains(lower(category), 'flagship')
+  OR contains(lower(title), 'techne') OR contains(lower(title), 'riseup')) AS n_flagship FROM ev JOIN nation ON contains(lower(city), lower(n_name)) GROUP BY 1""")
+def _(spark, sf):
+    return views.hub_rollup(ev(spark, sf), A.table(spark, sf, "nation").select(F.lower("n_name").alias("hub")))
+
+
+# ------------------------------------------------------------ whole captions
 @query("x10_analyze_caption", f"""SELECT post_id, e AS is_event, CASE WHEN e THEN title END AS title,
   CASE WHEN e THEN CASE WHEN post_id % 5 = 4 THEN 'Upcoming / Live' ELSE strftime({_CAPTION_DAY}, '%b %d, %Y') END END AS date_display,
   CASE WHEN e THEN {_CITY} END AS city, CASE WHEN e THEN {_TICKET} END AS ticket_type, CASE WHEN e THEN {_LINK} END AS registration_url,
