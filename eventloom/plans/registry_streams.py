@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..schema import conform
 from ..session import ensure_checkpoint_dir
 from ..sources import payload, snapshots
-from ..streaming import curated, intake
+from ..streaming import admission, curated, intake
 from . import adapters as A
 from .registry import ev, query
 
@@ -72,6 +72,21 @@ def _(spark, sf):
         spark.conf.set(provider, before)
 
 
+@query("r1_admission_against_the_store", """SELECT 'u' || CAST(user_id AS VARCHAR) AS event_id, 'Visit of ' || CAST(user_id AS VARCHAR) AS title,
+  CAST(min(event_id % 4) AS INT) AS batch FROM events GROUP BY user_id""")
+def _(spark, sf):
+    """Visits arrive in four batches; each admits the users that no batch before it knows. The first batch then comes once more."""
+    root, user = _scratch(spark), F.col("user_id").cast("string")
+    visits = A.table(spark, sf, "events").select(F.concat(F.lit("u"), user).alias("event_id"), F.concat(F.lit("https://s.example/"), user).alias("url"),
+                                                 F.concat(F.lit("Visit of "), user).alias("title"), (F.col("event_id") % 4).alias("arrival"))
+    for k in range(4):
+        visits.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{root}/in")
+        admission.start(spark.readStream.schema(visits.drop("arrival").schema).parquet(f"{root}/in"), f"{root}/table", f"{root}/state").awaitTermination()
+    if admission.admit_batch(spark, f"{root}/table", 0, visits.drop("arrival"), ("event_id",)):
+        raise RuntimeError("a batch that is done was taken again")
+    return admission.read(spark, f"{root}/table").select("event_id", "title", F.col("batch").cast("int").alias("batch"))
+
+
 @query("r2_continuous_merge", """SELECT 'p' || CAST(min(seq) AS VARCHAR) AS event_id, count(*) AS n_members,
   arg_max(title, length(title) * 1000000 - seq % 1000) AS title, arg_max(priority, score * 1000000 - seq % 1000) AS priority, max(score) AS score,
   CASE WHEN count(*) = 1 THEN 'Eventbrite' WHEN count(*) = 2 THEN 'Eventbrite, AllEvents' ELSE 'Eventbrite, AllEvents, Facebook Events' END AS source
