@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import conform
 from ..session import ensure_checkpoint_dir
-from ..sources import payload, snapshots
+from ..sources import payload, published, snapshots
 from ..streaming import admission, curated, intake
 from . import adapters as A
 from .registry import ev, query
@@ -114,6 +114,19 @@ def _(spark, sf):
     return both.groupBy("event_id", "title").agg(F.count("*").cast("int").alias("n_copies"))
 
 
+@query("s16_publish_in_versions", """SELECT event_id, title, 1 AS version FROM ev WHERE seq % 7 <> 0 UNION ALL SELECT event_id, title || ' second', 2 FROM ev""")
+def _(spark, sf):
+    """A version with blank titles left out, a refused table in between, a second version; both read back from one of two targets."""
+    root, rows = _scratch(spark), ev(spark, sf).select("event_id", "seq", "title")
+    roots = [f"{root}/a", f"{root}/b"]
+    first = rows.select("event_id", F.when(F.col("seq") % 7 == 0, F.lit(" ")).otherwise(F.col("title")).alias("title"))
+    refused = rows.select("event_id", F.when(F.col("seq") % 2 == 0, F.col("title")).alias("title"))
+    second = rows.select("event_id", F.concat("title", F.lit(" second")).alias("title"))
+    if [published.publish(d, roots) for d in (first, refused, second)] != [True, False, True]:
+        raise RuntimeError("tables of titles are published, one without is refused")
+    return published.read(spark, roots[0], 1).withColumn("version", F.lit(1)).unionByName(published.read(spark, roots[1]).withColumn("version", F.lit(2)))
+
+
 @query("s17_versions", """SELECT event_id, title || ' second' AS title FROM ev WHERE seq % 3 <> 0""")
 def _(spark, sf):
     root, rows = _scratch(spark), ev(spark, sf).select("event_id", "seq", "title")
