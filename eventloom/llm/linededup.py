@@ -61,6 +61,7 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     lines = scratch.keep(sent.mapInArrow(hashed, schema))
     pairs = lines.select("hash", "id").distinct()
     frequent = pairs.groupBy("hash").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("hash", "keeper")
+    frequent = scratch.keep(frequent)  # a table of its own, so that both sides of the join are plain exchanges, which can be split
     # equal rows drop alike, once; by a column of its own, so that the join of a frequent line can be split
     drops = (lines.join(frequent, "hash").where("id <> keeper").groupBy("id", "row", F.hex("hash")).agg(F.first("places").alias("places"))
              .groupBy("id", "row").agg(F.flatten(F.collect_list("places")).alias("__llm_drops"))
