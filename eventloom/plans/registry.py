@@ -161,12 +161,13 @@ def _(spark, sf):
     return docs.unionByName(raw).where(quality.synthetic_or_foreign()).select("doc_id")
 
 
-@query("f16_placeholder_title", """SELECT event_id, (length(trim(title)) < 3) AS placeholder FROM (
-  SELECT event_id, CASE WHEN seq % 7 < 3 THEN substr(title, 1, CAST(seq % 7 AS INT)) ELSE title END AS title FROM ann)""")
+@query("f16_placeholder_title", f"""SELECT event_id, n, (length(trim(t)) < 3 OR lower(trim(t)) IN ({', '.join(S.q(w) for w in lx.BLANK_TITLES)})) AS placeholder FROM (
+  SELECT event_id, n, CASE n WHEN 0 THEN title WHEN 4 THEN 'Untitled' ELSE substr(title, 1, CAST(n AS INT)) END AS t FROM ann, (SELECT unnest([0, 1, 2, 3, 4]) AS n))""")
 def _(spark, sf):
-    # most titles are whole; the short ones are what the rule is for
-    cut = F.when(F.col("seq") % 7 < 3, F.substr(F.col("title"), F.lit(1), (F.col("seq") % 7).cast("int"))).otherwise(F.col("title"))
-    return ann(spark, sf).select("event_id", quality.is_placeholder_title(cut).alias("placeholder"))
+    # whole titles, and of each title what is left when it is cut to three characters or less, or missing
+    n = F.explode(F.array(*map(F.lit, range(5)))).alias("n")
+    t = F.when(F.col("n") == 0, F.col("title")).when(F.col("n") == 4, "Untitled").otherwise(F.substr(F.col("title"), F.lit(1), F.col("n")))
+    return ann(spark, sf).select("event_id", "title", n).select("event_id", "n", quality.is_placeholder_title(t).alias("placeholder"))
 
 
 _WATCH = """SELECT 'wl' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, n_name AS city, r_name AS university,
@@ -501,10 +502,7 @@ def _(spark, sf):
   WHEN 1 THEN INTERVAL 18 HOUR ELSE INTERVAL 20 HOUR END END''')} AS start_date FROM ev
   JOIN (SELECT o_orderkey, o_orderdate + INTERVAL 25 YEAR AS d FROM orders) ON o_orderkey = seq""")
 def _(spark, sf):
-    # "3 Oct 2024" also reads as month-day "Oct 20"; the year is cut off here to leave the day-month form
-    shown = F.when(F.col("seq") % 4 == 1, F.regexp_replace("date_display", " 20[0-9]{2}$", "")).otherwise(
-        F.col("date_display"))
-    return ev(spark, sf).select("event_id", ts(D.source_date(shown, A.REF_NOW.year)).alias("start_date"))
+    return ev(spark, sf).select("event_id", ts(D.source_date(F.col("date_display"), A.REF_NOW.year)).alias("start_date"))
 
 
 @query("d6_date_compatibility", """SELECT a.event_id AS a, count(*) AS n FROM ann a JOIN (SELECT seq, o_orderdate + INTERVAL 27 YEAR AS d
@@ -561,12 +559,19 @@ def _(spark, sf):
     return scored(spark, sf).select("post_id", F.col("parallel_org").alias("org"))
 
 
-@query("c3_summit_uplift", f"""SELECT event_id, CASE WHEN contains(lower(source), 'summit') THEN 'HIGH' END AS priority,
-  CASE WHEN contains(lower(source), 'summit') THEN 'Flagship Summits' END AS category, CASE WHEN contains(lower(source), 'summit')
-  THEN recommended_action END AS action FROM ev WHERE contains(lower(source), 'summit')""")
+def _outcome(i: int) -> str:
+    return "CASE rule " + " ".join(f"WHEN '{k}' THEN {S.q(v[i]) if isinstance(v[i], str) else v[i]}" for k, v in lx.OUTCOMES.items()) + " END"
+
+
+@query("c3_summit_uplift", f"""SELECT event_id, CASE WHEN summit THEN greatest({_outcome(0)}, 9.2) ELSE {_outcome(0)} END::DOUBLE AS score,
+  CASE WHEN summit THEN 'HIGH' ELSE {_outcome(1)} END AS priority, CASE WHEN summit THEN 'Flagship Summits' ELSE {_outcome(2)} END AS category,
+  CASE WHEN summit THEN recommended_action END AS action FROM (SELECT *, {S.tier('tl', 'fl', 'org')} AS rule FROM (SELECT *, {S.partner("fl || ' ' || ll")} AS org
+  FROM (SELECT event_id, recommended_action, contains(lower(source), 'summit') AS summit, lower(title) AS tl, lower(title || ' ' || description) AS fl,
+    lower(location) AS ll FROM ev)))""")
 def _(spark, sf):
-    return (score.apply_scores(full_ev(spark, sf)).where(score.is_summit_source(F.col("source")) & (F.col("score") >= 9.2))
-            .select("event_id", "priority", "category", F.col("recommended_action").alias("action")))
+    """All events: those of summit sources are lifted and keep their action, the others get what the cascade says."""
+    summit = score.is_summit_source(F.col("source"))
+    return score.apply_scores(full_ev(spark, sf)).select("event_id", "score", "priority", "category", F.when(summit, F.col("recommended_action")).alias("action"))
 
 
 @query("c4_snapshot_uplift", """SELECT event_id, CASE WHEN contains(lower(source), 'summit') THEN greatest(score, 9.2) ELSE score END

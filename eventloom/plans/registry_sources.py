@@ -83,15 +83,6 @@ def _(spark, sf):
     return pages.page_metadata(A.table(spark, sf, "pages")).select("page_id", F.col("meta_title").alias("title"))
 
 
-@query("s7_resolve_pages", f"""SELECT 'https://pages.example/' || CAST(seq AS VARCHAR) AS url,
-  CASE WHEN seq % 4 = 1 THEN 'x' ELSE title END AS title, CASE WHEN seq % 2 = 0 THEN organizer
-  ELSE 'Social Event Host' END AS organizer FROM ({_BASE}) WHERE seq % 4 IN (0, 1)""")
-def _(spark, sf):
-    p = event_pages(spark, sf).where("seq % 4 IN (0, 1)")
-    # the second object of a list overrides the title, as the last named item wins
-    return pages.resolve_pages(p, _NOW).select("url", "title", "organizer")
-
-
 @query("s7_resolve_all_pages", f"""SELECT 'https://pages.example/' || CAST(seq AS VARCHAR) AS url,
   CASE seq % 4 WHEN 1 THEN 'x' WHEN 3 THEN 'Youth & Campus Event' ELSE title END AS title, CASE WHEN seq % 2 = 0 THEN organizer
   ELSE 'Social Event Host' END AS organizer FROM ({_BASE})""")
@@ -128,9 +119,9 @@ def _(spark, sf):
 
 
 @query("s11_yearly_catalogue", """SELECT event_id, strftime(CASE WHEN start_date < TIMESTAMP '2023-06-13 12:00:00' THEN start_date + INTERVAL 1 YEAR
-  ELSE start_date END, '%Y-%m-%d %H:%M:%S') AS start_date FROM ev WHERE start_date IS NOT NULL""")
+  ELSE start_date END, '%Y-%m-%d %H:%M:%S') AS start_date FROM ev""")
 def _(spark, sf):
-    e = ev(spark, sf).where("start_date IS NOT NULL").withColumnRenamed("event_id", "id")
+    e = ev(spark, sf).withColumnRenamed("event_id", "id")
     return social.yearly_catalogue(e, _NOW).select("event_id", ts("start_date").alias("start_date"))
 
 
