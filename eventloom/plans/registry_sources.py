@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import stable_id
-from ..sources import cards, jsonld, pages, payload, posters, social
+from ..session import Scratch
+from ..sources import cards, dirty, jsonld, pages, payload, posters, snapshots, social
 from . import adapters as A
-from .registry import cap, ev, query, ts
+from .registry import cap, ev, full_ev, query, ts
 
 _NOW = A.REF_NOW
 # an event page per order: single object, list, or itemListElement; one plain page in four carries cards instead
@@ -182,3 +184,53 @@ def _(spark, sf):
     none = F.lit(None).cast("string")
     items = items.withColumns({n: none for n in payload._FIELDS if n not in items.columns})
     return payload.import_records(items, A.CAPTION_NOW).select("event_id", "title", "organizer_email")
+
+
+def _lines(df: DataFrame, header: str, line: F.Column, path: str) -> None:
+    """Text files with a header line each and lines as they are."""
+    df.select(line.alias(header)).write.mode("overwrite").option("quote", "\u0000").option("escape", "\u0000").option("header", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("delimiter", "\u0001").csv(path)
+
+
+@query("s2_dirty_sheets", """SELECT event_id, CASE WHEN seq % 3 = 2 THEN CASE seq % 5 WHEN 0 THEN 'too many values' WHEN 1 THEN 'open quote' WHEN 2 THEN 'no title'
+    WHEN 3 THEN 'skipped source' END WHEN contains(lower(source), 'facebook') OR contains(lower(source), 'summits') THEN 'skipped source' END AS reason,
+  CASE WHEN seq % 3 = 2 AND seq % 5 < 4 OR seq % 3 <> 2 AND (contains(lower(source), 'facebook') OR contains(lower(source), 'summits')) THEN NULL ELSE title END AS title,
+  CASE WHEN seq % 3 = 2 AND seq % 5 < 4 OR seq % 3 <> 2 AND (contains(lower(source), 'facebook') OR contains(lower(source), 'summits')) THEN NULL
+    WHEN seq % 3 = 1 THEN 5.0 WHEN seq % 3 = 2 THEN 7.5 ELSE score END AS score FROM ev""")
+def _(spark, sf):
+    """Sheets in three layouts, one of them with broken lines, read together: accepted rows, and the rest with the reason."""
+    e, root, c = full_ev(spark, sf), f"{Scratch(spark).root}/sheets", F.col
+    shown = snapshots.to_sheet(e.where("seq % 3 = 0")).columns
+    whole = e.where("seq % 3 = 0")
+    sheet = snapshots.to_sheet(whole.withColumn("description", F.concat_ws("|", "event_id", "description")))
+    sheet.select(F.split_part("Description", F.lit("|"), F.lit(1)).alias("event_id"), *shown).write.csv(f"{root}/a", header=True, quoteAll=True, escape='"')
+    e.where("seq % 3 = 1").select(F.lit("x").alias("remarks"), "source", "event_id", F.lit("nan").alias("score"), "title", F.lit("N/A").alias("organizer")).write.csv(
+        f"{root}/b", header=True)
+    kind = c("seq") % 5
+    title = F.when(kind == 2, "nan").when(kind == 1, F.concat(F.lit('"'), c("title"))).otherwise(c("title"))
+    line = F.concat_ws(",", "event_id", title, F.when(kind == 3, "Facebook Events").otherwise("AllEvents"), F.lit("7.5"), F.when(kind == 0, F.lit("one,more")))
+    _lines(e.where("seq % 3 = 2"), "event_id,Event Title,Platform,Score (1-10)", line, f"{root}/c")
+    rows, rejects = dirty.read_sheets(spark, [f"{root}/{d}" for d in "abc"])
+    kept = dirty.accepted(rows)
+    place = F.when(c("file").contains("/sheets/b/"), 3).otherwise(1)
+    lost = rejects.select(F.replace(F.split_part("record", F.lit(","), place), F.lit('"'), F.lit("")).alias("event_id"), "reason", F.lit(None).cast("string").alias("title"), F.lit(None).cast("double").alias("score"))
+    return kept.select("event_id", F.lit(None).cast("string").alias("reason"), "title", "score").unionByName(lost)
+
+
+@query("s1_dirty_json", """SELECT seq, CASE seq % 6 WHEN 0 THEN 'broken' WHEN 1 THEN 'broken' WHEN 2 THEN 'no title' END AS reason,
+  CASE WHEN seq % 6 > 2 THEN title END AS title, CASE WHEN seq % 6 = 4 THEN 0.0 WHEN seq % 6 > 2 THEN score END AS score FROM ev""")
+def _(spark, sf):
+    """JSON lines of two ages (score under its older name), cut off, with a wrong type or a blank title."""
+    e, root, c = ev(spark, sf), f"{Scratch(spark).root}/json", F.col
+    kind = c("seq") % 6
+    title = F.when(kind == 2, " ").otherwise(c("title"))
+    old, new = F.to_json(F.struct("event_id", title.alias("title"), c("score").alias("rating"))), F.to_json(F.struct("event_id", title.alias("title"), "score"))
+    line = (F.when(kind == 0, F.concat(F.lit('{"event_id":"'), "event_id", F.lit('","title":"cut'))).when(kind == 3, old)
+            .when(kind == 1, F.to_json(F.struct("event_id", title.alias("title"), F.lit("high").alias("score"))))
+            .when(kind == 4, F.to_json(F.struct("event_id", title.alias("title")))).otherwise(new))
+    e.select(line.alias("value")).write.text(root)
+    rows, rejects = dirty.read_json(spark, root, {"rating": "score"})
+    number = F.regexp_extract("record", r'"event_id":"ev(\d+)', 1).cast("long").alias("seq")
+    lost = rejects.select(number, "reason", F.lit(None).cast("string").alias("title"), F.lit(None).cast("double").alias("score"))
+    kept = dirty.accepted(rows).select(F.substr("event_id", F.lit(3)).cast("long").alias("seq"), F.lit(None).cast("string").alias("reason"), "title", "score")
+    return kept.unionByName(lost)
