@@ -373,5 +373,5 @@ def test_graph_recall():
 
 def test_digest_columns(spark):
     from eventloom.llm import registry
-    assert len([q for q in registry.QUERIES if re.match(r"op\d+_", q)]) == 10
+    assert len([q for q in registry.QUERIES if re.match(r"op\d+_", q)]) == 13
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit("").cast("binary"), 256)).first()[0]
