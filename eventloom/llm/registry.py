@@ -115,7 +115,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(fim.restored().cast("binary"), 256).alias("restored_sha256"))
 
 
-@query()
+@query(turns.sql())
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = turns.repair(turns.damage(read(spark, sf_dir, "conversations")), absent="absent")
     return fixed.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",

@@ -332,3 +332,62 @@ def damage(rows: DataFrame) -> DataFrame:
     text = F.when(kind == 1, "").when(kind == 2, F.translate(string("text"), ".!?", "")).when(kind == 0, "").otherwise(string("text"))
     return (rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(string("role")).alias("role"), text.alias("text"), (kind == 0).alias("absent"),
                         F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("copy")).drop("copy"))
+
+
+def sql() -> str:
+    """The repair in DuckDB SQL: four states (nothing, system, user, assistant seen last), each with its least cost and audit as one
+    string, walked row by row; then the chosen edits are carried out, one by one."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"  # the checksum, by the reflected polynomial 0xEDB88320
+    table = f"list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: {step}))"
+    octets = "list_transform(regexp_extract_all(hex(encode(name)), '..'), lambda h: ('0x' || h)::BIGINT)"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: xor(c >> 8, p[(xor(c, b) & 255) + 1])), 4294967295)"
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+    def plus(state: str, cost: int | str, letters: str) -> str:
+        return f"(lpad(CAST(CAST(substr({state}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{letters}')"
+
+    def after(sources: list[tuple[str, str]], initial: str, own: str) -> str:
+        """The state after a row that becomes ``initial``: from states behind so many inserts, or by deleting the row in that state."""
+        ways = [plus(f"w.{own}", DELETE, "D")]
+        for state, inserts in sources:
+            more = f"{INSERT * len(inserts)} + r.cut"
+            ways.append(f"CASE WHEN NOT r.gone AND r.initial = '{initial}' THEN {plus(f'w.{state}', more, inserts + 'K')} END")
+            if initial in ROLES:
+                ways.append(f"CASE WHEN NOT r.gone THEN {plus(f'w.{state}', f'{more} + {REROLE}', inserts + 'R')} END")
+        return f"least({', '.join(ways)}, NULL)"
+
+    to_user, to_assistant = [("z", ""), ("s", ""), ("a", ""), ("z", "II"), ("s", "II"), ("u", "I")], [("u", ""), ("z", "I"), ("s", "I"), ("a", "I")]
+    end = f"least(w.z, w.a, {plus('w.u', INSERT, 'I')}, {plus('w.s', 2 * INSERT, 'II')})"
+    role = "CASE WHEN t.at = 'u' THEN 'assistant' ELSE 'user' END"
+    return f"""
+WITH RECURSIVE polynomial AS (SELECT {table} AS p),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+kinds AS (SELECT *, CAST({crc} AS BIGINT) % 20 AS kind FROM named, polynomial),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM kinds, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (SELECT *, row_number() OVER w AS k, lag(left(role, 1)) OVER w AS before,
+    rtrim(text, {white}) AS bare FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
+judged AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN NOT contains('.!?', right(bare, 1)) THEN 'truncated' ELSE '' END AS fault FROM placed),
+r AS (SELECT *, left(role, 1) AS initial, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN {TRUNCATED} ELSE 0 END AS cut FROM judged),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, '000000000' AS z, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT w.conv_id, r.k, {plus('w.z', DELETE, 'D')}, {after([('z', '')], 's', 's')}, {after(to_user, 'u', 'u')}, {after(to_assistant, 'a', 'a')}
+  FROM walk w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.k = w.k + 1),
+best AS (SELECT conv_id, CAST(substr(x, 1, 9) AS BIGINT) AS cost, substr(x, 10) AS audit FROM (SELECT w.conv_id, {end} AS x FROM walk w
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.k DESC) = 1)),
+edits AS (SELECT conv_id, pos, substr(audit, CAST(pos AS INT), 1) AS edit, length(replace(substr(audit, 1, CAST(pos AS INT)), 'I', '')) AS k FROM best, unnest(range(1, length(audit) + 1)) AS q(pos)),
+carried AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, '' AS at, CAST(NULL AS VARCHAR) AS line FROM best
+  UNION ALL
+  SELECT t.conv_id, e.pos, CASE e.edit WHEN 'D' THEN t.at WHEN 'K' THEN r.initial ELSE left({role}, 1) END,
+    CASE e.edit WHEN 'K' THEN r.role || ':' || r.text WHEN 'R' THEN {role} || ':' || r.text WHEN 'I' THEN {role} || ':' END
+  FROM carried t JOIN edits e ON e.conv_id IS NOT DISTINCT FROM t.conv_id AND e.pos = t.pos + 1 LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.k = e.k),
+texts AS (SELECT conv_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE line IS NOT NULL), '') AS repaired FROM carried GROUP BY conv_id),
+figures AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ({', '.join(f"'{x}'" for x in LEGAL)})) AS illegal FROM r GROUP BY conv_id)
+SELECT b.conv_id, CAST(coalesce(f.gaps, 0) AS BIGINT) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated,
+  coalesce(f.illegal, 0) AS illegal, b.cost, b.audit, sha256(t.repaired) AS repaired_sha256
+FROM best b JOIN texts t ON t.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM b.conv_id"""
