@@ -234,3 +234,54 @@ def _(spark, sf):
     lost = rejects.select(number, "reason", F.lit(None).cast("string").alias("title"), F.lit(None).cast("double").alias("score"))
     kept = dirty.accepted(rows).select(F.substr("event_id", F.lit(3)).cast("long").alias("seq"), F.lit(None).cast("string").alias("reason"), "title", "score")
     return kept.unionByName(lost)
+
+
+def _poster_files(df: DataFrame, folder: str) -> None:
+    """A file per row (name, kind, title): SVG, or PNG with its text plain, compressed, or compressed and international; kind 4 has a wrong checksum."""
+    def write(batches):
+        import zlib
+
+        from pyarrow.fs import FileSystem
+
+        def chunk(kind: bytes, body: bytes, wrong: int = 0) -> bytes:
+            return len(body).to_bytes(4, "big") + kind + body + (zlib.crc32(kind + body) ^ wrong).to_bytes(4, "big")
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                said = row["title"].encode()
+                marked = {1: (b"tEXt", b"Comment\0" + said), 2: (b"zTXt", b"Comment\0\0" + zlib.compress(said)),
+                          3: (b"iTXt", b"Comment\0\1\0en\0Remark\0" + zlib.compress(said)), 4: (b"tEXt", b"Comment\0" + said)}
+                if row["kind"]:
+                    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"x" * 13) + chunk(*marked[row["kind"]], row["kind"] == 4) + chunk(b"IEND", b"")
+                else:
+                    data = b'<svg xmlns="http://www.w3.org/2000/svg"><text>' + said + b"</text></svg>"
+                fs, path = FileSystem.from_uri(f"{folder}/{row['name']}")
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(path) as f:
+                    f.write(data)
+            yield batch.select(["kind"])
+    df.mapInArrow(write, "kind int").write.format("noop").mode("overwrite").save()
+
+
+@query("x12_poster_files", """SELECT c_custkey AS custkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 4 THEN NULL ELSE 'Comment ' END
+  || 'Open day of ' || c_name || ' for ' || lower(c_mktsegment) AS ocr_text FROM customer""")
+def _(spark, sf):
+    """A poster file for every customer; a broken one has no text."""
+    c, root = F.col, f"{Scratch(spark).root}/posters"
+    title = F.concat(F.lit("Open day of "), "c_name", F.lit(" for "), F.lower("c_mktsegment"))
+    rows = A.table(spark, sf, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # one row group in the given table
+    _poster_files(rows.select(F.concat(F.lit("p"), c("c_custkey").cast("string")).alias("name"), (c("c_custkey") % 5).cast("int").alias("kind"), title.alias("title")), root)
+    got = posters.analyze_posters(posters.read_posters(spark, root), A.CAPTION_NOW, strict=True)
+    return got.select(F.regexp_extract("path", "/p([0-9]+)$", 1).cast("long").alias("custkey"), F.nullif("ocr_text", F.lit("")).alias("ocr_text"))
+
+
+@query("a13_differences", """SELECT o_orderkey, kind FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 499 = 1 THEN 'only left' WHEN o_orderkey % 499 = 2 THEN 'changed'
+  WHEN o_orderkey % 499 = 3 THEN 'only right' END AS kind FROM orders) WHERE kind IS NOT NULL""")
+def _(spark, sf):
+    """Two stored copies of the orders with rows missing in either and rows changed."""
+    root, place = Scratch(spark).root, F.col("o_orderkey") % 499
+    orders = A.table(spark, sf, "orders")
+    snapshots.write_hashed(orders.where(place != 3), f"{root}/a", "o_orderkey")
+    changed = F.when(place == 2, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice"))
+    snapshots.write_hashed(orders.where(place != 1).withColumn("o_totalprice", changed), f"{root}/b", "o_orderkey")
+    return snapshots.differences(spark, f"{root}/a", f"{root}/b", "o_orderkey")
