@@ -7,6 +7,7 @@ Arabic counts as text and the result does not depend on how a given JVM reads
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -23,13 +24,57 @@ _IN_CLASS = {"w": r"\p{L}\p{N}_", "s": r"\s\xa0", "d": r"\p{Nd}"}
 _OUTSIDE = {"w": WORD, "W": NOT_WORD, "s": SPACE, "d": r"\p{Nd}", "b": EDGE}
 
 
+def _begins_with_word(pattern: str) -> str | None:
+    """What a pattern surely begins with, if that is a digit (its class) or some letter or digit (empty); None if it may be anything else.
+
+    Groups that it begins with are looked into: all their alternatives must begin so, and none of them may be optional.
+    """
+    def atom(at: int) -> str | None:
+        width = 2 if pattern.startswith(r"\d", at) else 1
+        optional = pattern[at + width:at + width + 1] in ("?", "*") or pattern.startswith("{0", at + width)
+        if optional or not (width == 2 or pattern[at:at + 1].isalnum()):
+            return None
+        return r"\p{Nd}" if width == 2 else ""
+
+    at = len(re.match(r"(?:\((?:\?:)?)*", pattern)[0])
+    found, depth = [atom(at)], pattern[:at].count("(")
+    lowest, in_class = depth, False
+    while lowest and at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            at += 1
+        elif in_class or c == "[":
+            in_class = c != "]"
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if depth < lowest:
+                lowest = depth
+                if pattern[at + 1:at + 2] in ("?", "*") or pattern.startswith("{0", at + 1):
+                    return None
+        elif c == "|" and depth == lowest:
+            found.append(atom(at + 1))
+        at += 1
+    return None if None in found else found[0] if len(set(found)) == 1 else ""
+
+
 def unicode_regex(pattern: str, ignore_case: bool = True) -> str:
-    """Spell out ``\\w \\W \\d \\s \\b`` as Unicode classes for Java."""
+    """Spell out ``\\w \\W \\d \\s \\b`` as Unicode classes for Java.
+
+    A word edge before what surely is a word character, or after it, looks at its other side only.
+    """
     out, in_class, i = ["(?iu)" if ignore_case else ""], False, 0
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
             nxt = pattern[i + 1]
+            if nxt == "b" and not in_class:
+                first = _begins_with_word(pattern[i + 2:])
+                ends = re.search(r"(?:\\d|(?<!\\)[A-Za-z0-9])(?:\{[1-9][0-9,]*\}|\+)?$", pattern[:i])
+                out.append(f"(?={first}){NOT_BEFORE}" if first else NOT_BEFORE if first == "" else NOT_AFTER if ends else EDGE)
+                i += 2
+                continue
             table = _IN_CLASS if in_class else _OUTSIDE
             out.append(table.get(nxt, ch + nxt))
             i += 2
@@ -50,8 +95,26 @@ def phrase_regex(phrases: Iterable[str], whole_words: bool = True) -> str:
     return f"(?iu){NOT_BEFORE}(?:{body}){NOT_AFTER}" if whole_words else f"(?iu)(?:{body})"
 
 
+def _branches(phrases: list[str]) -> str:
+    """An alternation in which phrases share their beginnings, so that a position of a text is tried once per first character."""
+    by_first: dict[str, list[str]] = {}
+    for p in phrases:
+        by_first.setdefault(p[:1], []).append(p[1:])
+    ends = by_first.pop("", None)
+    arms = [(r"\s+" if c == " " else c) + _branches(rest) for c, rest in by_first.items()]
+    if not arms:
+        return ""
+    body = arms[0] if len(arms) == 1 and ends is None else f"(?:{'|'.join(arms)})"
+    return body if ends is None else f"{body}?"
+
+
 def has_phrase(col: Column, phrases: Iterable[str], whole_words: bool = True) -> Column:
-    return col.rlike(phrase_regex(phrases, whole_words))
+    """Whether one of the phrases occurs; unlike in :func:`phrase_regex` it does not matter which."""
+    phrases = list(phrases)
+    plain = [p for p in phrases if re.fullmatch(r"[\w ,'&-]+", p)]
+    rest = [p.replace(" ", r"\s+") for p in phrases if p not in plain]
+    body = unicode_regex("|".join([*([_branches(sorted(plain))] if plain else []), *(f"(?:{p})" for p in rest)]), ignore_case=False)
+    return col.rlike(f"(?iu){NOT_BEFORE}(?:{body}){NOT_AFTER}" if whole_words else f"(?iu)(?:{body})")
 
 
 def matches(col: Column, pattern: str, ignore_case: bool = True) -> Column:

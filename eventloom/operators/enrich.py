@@ -6,21 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
-from ..functions.patterns import any_of, blank_to_null, extract, first_label, matches, replace, text
+from ..functions.patterns import blank_to_null, contains_any, extract, first_label, matches, replace, text
 from ..functions.text import ascii_digits
 from .contains import digest, first_contained
 
 
 def _image(address: Column, suffixes=lx.IMAGE_SUFFIXES) -> Column:
-    return any_of(F.lower(address).endswith(s) for s in suffixes)
+    """One pattern, so that the address is looked for once."""
+    return F.lower(address).rlike("(?:" + "|".join(x.replace(".", r"\.") for x in suffixes) + r")\z")
 
 
 def caption_contacts(caption: Column) -> Column:
     """E-mail, phone and handle written in a caption, as a struct."""
     norm = ascii_digits(caption)
-    email = extract(norm, lx.CAPTION_EMAIL, ignore_case=False)
+    email = F.when(norm.contains("@"), extract(norm, lx.CAPTION_EMAIL, ignore_case=False))
     phone = F.regexp_replace(extract(norm, lx.CAPTION_PHONE, ignore_case=False), r"[\s\-]+", "")
-    handle = extract(replace(norm, lx.CAPTION_EMAIL, " ", ignore_case=False), lx.CAPTION_HANDLE, 1, ignore_case=False)
+    handle = F.when(contains_any(norm, ("@", "instagram.com/")), extract(replace(norm, lx.CAPTION_EMAIL, " ", ignore_case=False), lx.CAPTION_HANDLE, 1, ignore_case=False))
     return F.struct(F.when(~_image(email), email).alias("email"), phone.alias("phone"),
                     F.when(~F.lower(handle).isin(*lx.RESERVED_HANDLES), handle).alias("instagram"))
 

@@ -86,3 +86,36 @@ def test_reject_reasons(spark):
         dict(title="Bibliotheca Alexandrina Youth Tech Forum", url="https://a.in/2", location="Chatby, Alexandria, Egypt")])
     got = [r[0] for r in df.orderBy("seq").select(reject_reason()).collect()]
     assert got == ["link", "link", "foreign", None]
+
+
+def test_patterns_read_as_before(spark):
+    """Shared beginnings of phrases and word edges looked at early change no match."""
+    import re
+
+    from eventloom import lexicon as lx
+    from eventloom.functions import dates, patterns
+
+    phrases = ["ai", "air show", "air", "job fair", "c&v", "women's day", "ملتقى", "ملتقى التوظيف", "web-site", r"24\s*hours?"]
+    texts = ["AI", "said", "air  show!", "airs", "a job\nfair", "a jobfair", "C&V here", "Women's Day", "هذا ملتقى كبير", "الملتقى", "web-sites", "web-site", "24 hour",
+             "24hoursx", "", "fair", "job", "xair show", "show air", "AİR"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for whole in (True, False):
+        got = [r[0] for r in rows.select(patterns.has_phrase(F.col("t"), phrases, whole)).collect()]
+        assert got == [r[0] for r in rows.select(F.col("t").rlike(patterns.phrase_regex(phrases, whole))).collect()]
+    for words in (lx.TRIGGER_WORDS, lx.MEDICAL, lx.SUMMIT, lx.LEISURE):
+        sample = rows.union(spark.createDataFrame([(f"x {w.replace(' ', '  ')}, y",) for w in words] + [(f"x{w}y",) for w in words], "t string"))
+        assert sample.where(patterns.has_phrase(F.col("t"), words) != F.col("t").rlike(patterns.phrase_regex(words))).count() == 0
+    shown = ["Sun, 25 Oct 7", "x25 Oct", "25Oct", "Oct 29 - 31, 2026", "é12 may", "12 may", "_jan 3", "2026/1/2", "x2026-1-2", "٣ 12/5/26", "a12/5/26", "10:30pm", "x10:30", "on at 5", "٥10:30 AM", ""]
+    dated = spark.createDataFrame([(t,) for t in shown], "t string")
+    edge = patterns.EDGE
+    for name in ("DAY_FIRST", "MONTH_FIRST", "CLOCK", "YEAR", "RANGE_CROSS", "RANGE_MONTH", "SOURCE_MONTH", "SOURCE_DAY", "CAPTION_ISO", "CAPTION_DMY"):
+        pattern = getattr(dates, name)
+        plain = "(?iu)" + edge.join(patterns.unicode_regex(part, ignore_case=False) for part in pattern.split(r"\b"))
+        assert pattern.startswith(r"\b")
+        assert dated.where(F.regexp_extract("t", patterns.unicode_regex(pattern), 0) != F.regexp_extract("t", plain, 0)).count() == 0, name
+    for pattern, t in ((lx.CAPTION_PHONE, "call 15678 or 010 1234 5678 or x15678 156789 ١٥٦٧٨"), (r"\b\d{1,2}\b", "a1 22 333 4b 5"), (r"x+\b|\byy?\b", "xxy x yy yyy")):
+        plain = edge.join(patterns.unicode_regex(part, ignore_case=False) for part in pattern.split(r"\b"))
+        one = spark.createDataFrame([(t,)], "t string")
+        assert one.select(F.regexp_extract_all("t", F.lit(plain), F.lit(0))).first() == one.select(
+            F.regexp_extract_all("t", F.lit(patterns.unicode_regex(pattern, False)), F.lit(0))).first()
+    assert re.search(r"\(\?=", patterns.unicode_regex(dates.DAY_FIRST))
