@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.patterns import contains_any, has_phrase, matches, strip, text
+from ..session import cut_lineage
+from .keyed import salted_lookup
 
 
 def partner_org(hay: Column) -> Column:
@@ -157,12 +159,21 @@ def weighted_keywords(df: DataFrame, id_col: str, text_col: str, weights: DataFr
     """Sum of configured term weights per text: an optional extra for configured
     weights that no default rule reads.  ``weights`` holds ``(term, weight)``.
 
-    Single-word terms only meet the texts that contain them (equi-join on words); terms of several words
-    are checked on the texts that contain their first word.
+    Terms are written out first, so that Spark knows their size and sends a short list to the words instead of sorting all words. Words
+    travel without their text: a term that is one whole word is decided by its equality, others are checked on the texts (by digest) that
+    contain their first word.
     """
-    words = df.select(id_col, F.lower(text(F.col(text_col))).alias("_text")).withColumn(
-        "_w", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))))
-    terms = weights.select(F.lower("term").alias("_term"), "weight").withColumn(
-        "_w", F.regexp_extract("_term", r"([\p{L}\p{N}_]+)", 1))
-    hits = words.join(terms, "_w").where(F.col("_text").contains(F.col("_term")))
+    word = r"([\p{L}\p{N}_]+)"
+    terms = cut_lineage(weights.select(F.lower("term").alias("_term"), "weight").withColumn("_w", F.regexp_extract("_term", word, 1)).where("_w <> ''"))
+    texts = df.select(id_col, F.lower(text(F.col(text_col))).alias("_text"))
+    whole_words = terms.where("_term <> _w").isEmpty()
+    digest = F.lit(None).cast("binary") if whole_words else F.unhex(F.md5("_text"))
+    words = (texts.select(id_col, digest.alias("_t"), F.array_distinct(F.regexp_extract_all("_text", F.lit(word), F.lit(1))).alias("_all"))
+             .select(id_col, "_t", F.explode("_all").alias("_w")))
+    hits = words.join(terms, "_w")
+    if not whole_words:
+        asked = hits.where("_term <> _w")
+        found_in = texts.select(F.unhex(F.md5("_text")).alias("_t"), "_text").join(asked.select("_t").distinct(), "_t", "left_semi").dropDuplicates(["_t"])
+        checked = salted_lookup(asked, found_in, ["_t"], "inner").where(F.col("_text").contains(F.col("_term"))).select(hits.columns)
+        hits = hits.where("_term = _w").unionByName(checked)
     return hits.groupBy(id_col).agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("n_terms"))
