@@ -1,6 +1,10 @@
 """Results and plans that must hold as tables grow."""
 
+from pyspark.sql import functions as F
+
+from eventloom.operators.intents import apply_intents, parse_questions
 from eventloom.operators.score import weighted_keywords
+from eventloom.schema import event_frame
 
 
 def test_weighted_keywords_leave_the_words_where_they_are(spark):
@@ -13,3 +17,20 @@ def test_weighted_keywords_leave_the_words_where_they_are(spark):
     plan = single._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert {tuple(r) for r in single.collect()} == {(1, 7.0, 4), (2, 2.0, 1)}
+
+
+def test_questions_are_counted_before_they_meet_events(spark):
+    events = event_frame(spark, [
+        {"event_id": "a", "title": "AI Hackathon", "city": "Tanta", "ticket_type": "Free"},
+        {"event_id": "a", "title": "AI Hackathon", "city": "Tanta", "ticket_type": "Free"},
+        {"event_id": "b", "title": "Job Expo", "category": "Career Fair", "priority": "HIGH", "date_display": "Oct 3", "ticket_type": "9 EGP"}])
+    rows = [(1, "free hackathons in Tanta", "x"), (2, "free hackathons in Tanta", "x"), (3, "free hackathons in Tanta", None),
+            (4, "top career fairs in october", "x"), (5, "hi", "x"), (6, None, "x")]
+    asked = parse_questions(spark.createDataFrame(rows, "qid long, q string, kind string"))
+    assert asked.columns == ["qid", "q", "kind", "intent"] and asked.count() == 6
+    assert {r.qid for r in asked.where("intent IS NULL").collect()} == {5, 6}
+    pairs = apply_intents(events, asked)
+    want = {tuple(r) for r in pairs.join(asked.select("qid", "kind"), "qid").groupBy("kind", "event_id").agg(F.count("*").alias("n")).collect()}
+    counted = apply_intents(events, asked, count_by=["kind"])
+    assert counted.columns == ["kind", "event_id", "n"]
+    assert {tuple(r) for r in counted.collect()} == want == {("x", "a", 4), (None, "a", 2), ("x", "b", 1)}
