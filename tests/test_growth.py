@@ -1,7 +1,11 @@
 """Results and plans that must hold as tables grow."""
 
+import difflib
+import random
+
 from pyspark.sql import functions as F
 
+from eventloom.operators import resolve as R
 from eventloom.operators.intents import apply_intents, parse_questions
 from eventloom.operators.score import weighted_keywords
 from eventloom.schema import event_frame
@@ -34,3 +38,36 @@ def test_questions_are_counted_before_they_meet_events(spark):
     counted = apply_intents(events, asked, count_by=["kind"])
     assert counted.columns == ["kind", "event_id", "n"]
     assert {tuple(r) for r in counted.collect()} == want == {("x", "a", 4), (None, "a", 2), ("x", "b", 1)}
+
+
+def test_pairs_are_ruled_out_by_fine_counts_and_none_is_lost(spark):
+    rng = random.Random(3)
+    alphabet = "abcdef0123456789 ghimnoprstuكتبل😀_"
+    titles = ["".join(rng.choice(alphabet) for _ in range(rng.randint(3, 90))).strip() or "abc" for _ in range(150)]
+    changed = []
+    for t in titles:
+        c = list(t)
+        for _ in range(max(1, len(c) // 14)):
+            at = rng.randrange(len(c))
+            c[at:at + rng.randint(0, 1)] = rng.choice(alphabet)
+        changed.append("".join(c))
+    # equal in the coarse classes, far apart in single digits
+    alike = ("00000 55555 00000 55555", "44444 99999 33333 66666")
+    pairs = sorted({*zip(titles, changed), alike})
+    keys = R.title_keys(spark.createDataFrame(sorted({(x,) for p in pairs for x in p}), "fuzzy string"))
+    rows = keys.withColumns({"size": F.col("n_chars"), "kind": F.lit("R")})
+    old = rows.withColumns({n: F.lit(None).cast("long") for n in (*R.BAG, *R.FINE)})  # stored before these counts were kept
+
+    def near(right):
+        both = spark.createDataFrame(pairs, "a string, b string").join(rows.alias("l"), F.col("a") == F.col("l.fuzzy")).join(right.alias("r"), F.col("b") == F.col("r.fuzzy"))
+        return {(r.a, r.b): r.n for r in both.select("a", "b", R._near("l", "r").alias("n")).collect()}
+
+    got = near(rows)
+    assert got[alike] is False and near(old)[alike] is True
+    similar = [p for p in pairs if difflib.SequenceMatcher(None, *p).ratio() >= 0.85]
+    assert len(similar) > 100 and all(got[p] for p in similar)
+
+
+def test_trigrams_of_a_title(spark):
+    rows = spark.createDataFrame([("ab😀é",), ("x",)], "t string").select(R._grams(F.col("t")).alias("g")).collect()
+    assert [r.g for r in rows] == [["\x02ab", "ab😀", "b😀é", "😀é\x03"], ["\x02x\x03"]]
