@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from eventloom.operators import keyed
 from eventloom.operators import resolve as R
 from eventloom.operators.intents import apply_intents, parse_questions
 from eventloom.operators.score import weighted_keywords
@@ -71,3 +72,29 @@ def test_pairs_are_ruled_out_by_fine_counts_and_none_is_lost(spark):
 def test_trigrams_of_a_title(spark):
     rows = spark.createDataFrame([("ab😀é",), ("x",)], "t string").select(R._grams(F.col("t")).alias("g")).collect()
     assert [r.g for r in rows] == [["\x02ab", "ab😀", "b😀é", "😀é\x03"], ["\x02x\x03"]]
+
+
+def test_lookups_in_large_tables_spread_hot_keys_and_are_not_broadcast_unmeasured(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(keyed, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([*((i, "hot") for i in range(9)), (20, "a"), (21, "b"), (22, None), (23, None), (24, "lost")], "i long, k string")
+    table = spark.createDataFrame([("hot", 1), ("a", 2), ("b", 3), ("unasked", 4)], "k string, v int")
+    want = {*((i, "hot", 1) for i in range(9)), (20, "a", 2), (21, "b", 3), (22, None, None), (23, None, None), (24, "lost", None)}
+    assert sorted(map(str, (tuple(r) for r in keyed.counted_lookup(rows, table, ["k"]).select("i", "k", "v").collect()))) == sorted(map(str, want))
+    left = keyed.anti_by_any(rows.withColumn("j", F.col("i").cast("string")), table.withColumn("w", F.lit("24")), {"k": "k", "j": "w"}).select("i").collect()
+    assert sorted(r.i for r in left) == [22, 23]
+    # files of equal values are small however many rows they hold
+    spark.range(2_000_000).select(F.col("id"), F.lit("same").alias("v")).write.parquet(f"{tmp_path}/t")
+    big = spark.read.parquet(f"{tmp_path}/t")
+    from_files = keyed.salted_lookup(big.withColumnRenamed("v", "own"), big.where("id % 2 = 0"), ["id"])
+    plan = from_files._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert from_files.where("v IS NULL").count() == 1_000_000
+
+
+def test_candidates_are_not_broadcast_by_the_size_of_their_files(spark):
+    base = R.signature_base(event_frame(spark, [{"event_id": str(i), "title": f"meeting of makers {i}", "url": f"https://x.org/{i}"} for i in range(5)]).withColumn(
+        "seq", F.monotonically_increasing_id()))
+    sigs = base.select("sid", "norm", "fuzzy", "at")
+    keys = R.title_keys(base)
+    plan = R._candidates(R._blocks(sigs, keys), R._blocks(sigs, keys))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3 and "kind" not in "".join(line for line in plan.splitlines() if "BroadcastHashJoin" in line)
