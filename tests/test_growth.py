@@ -2,14 +2,18 @@
 
 import difflib
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from eventloom.functions.text import RECOVERED_DEFAULT
 from eventloom.operators import keyed
 from eventloom.operators import resolve as R
 from eventloom.operators.intents import apply_intents, parse_questions
 from eventloom.operators.score import weighted_keywords
+from eventloom.plans import jobs
 from eventloom.schema import event_frame
+from eventloom.session import cut_lineage
 
 
 def test_weighted_keywords_leave_the_words_where_they_are(spark):
@@ -98,3 +102,18 @@ def test_candidates_are_not_broadcast_by_the_size_of_their_files(spark):
     keys = R.title_keys(base)
     plan = R._candidates(R._blocks(sigs, keys), R._blocks(sigs, keys))._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("SortMergeJoin") >= 3 and "kind" not in "".join(line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+
+
+def test_filters_do_not_repeat_the_recovery_of_a_title(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut_lineage(df)
+
+    monkeypatch.setattr(jobs, "cut_lineage", seen)
+    rows = event_frame(spark, [{"event_id": "a", "title": "Delta Makers Meeting", "url": "https://x.org/a", "city": "Tanta"},
+                               {"event_id": "b", "title": "Null", "url": "", "city": "Tanta"}]).withColumn("seq", F.monotonically_increasing_id())
+    jobs.deduplicate_client(rows, datetime(2023, 6, 15))
+    filters = [line for p in plans for line in p.splitlines() if "Filter " in line]
+    assert filters and any(RECOVERED_DEFAULT in p for p in plans) and not any(RECOVERED_DEFAULT in line for line in filters)
