@@ -61,3 +61,27 @@ def test_keyword_questions(spark):
     assert got == {(1, "e0"), (1, "e1"), (2, "e0"), (2, "e1"), (3, "e1")}
     for qid, q in ((1, "night"), (2, "hall"), (3, "night hall")):
         assert {e for k, e in got if k == qid} == {r["event_id"] for r in events.where(views.keyword(q)).collect()}
+
+
+def test_grams_that_no_key_has_stay_where_they_are(spark, tmp_path):
+    """Texts are cut in the thousands of grams; only the few that a key asks for are sorted and joined."""
+    texts = [f"{i:06d} " + "".join(random.Random(i).choice("abcdefghijklmnop") for _ in range(400)) for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    asked = spark.createDataFrame([(m, f"{m:06d}") for m in range(40)], "m int, key string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = contains.search_many(rows, F.col("text"), asked, F.col("key")).select("n", "m")
+        assert sorted(map(tuple, found.collect())) == [(m, m) for m in range(40)]
+        grams = contains._by_grams(rows.withColumn("t", F.md5("text")), [6], "text", ("t",))
+        some = asked.select(F.xxhash64(F.lit(6), "key").alias("h"))
+        kept = grams.where(contains._marked(some))
+        assert grams.count() > 100_000 and 40 <= kept.count() < 400 and kept.join(some, "h").count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_bitmap_marks_every_hash(spark):
+    some = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    other = spark.range(20_000, 120_000).select(F.xxhash64("id").alias("h"))
+    assert some.where(contains._marked(some)).count() == 20_000 and other.where(contains._marked(some)).count() < 10_000
+    assert other.where(contains._marked(some.where("false"))).count() == 0
