@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import strip, text
 from ..session import cut_lineage
-from .keyed import top_per_key
+from .keyed import marked, top_per_key
 
 FIELDS = ("title", "description", "city", "location", "category", "organizer")
 K1, B = 1.2, 0.75
@@ -81,7 +81,10 @@ def search(index: DataFrame, stats: DataFrame, queries: DataFrame, limit: int =
         own = asked.where(places)
         if found is None:
             return own.join(hits, "prefix")
-        return found.join(own, "qid").join(hits, ["prefix", "id"])
+        # a common prefix has hits in most documents, few of which were found
+        asked_for = cut_lineage(found.join(own, "qid"))
+        h = F.xxhash64("prefix", "id")
+        return asked_for.join(hits.where(marked(h, asked_for.select(h.alias("h")).distinct())), ["prefix", "id"])
 
     def passed(rows: DataFrame, upto: Column) -> DataFrame:
         return rows.groupBy("qid", "id").agg(F.count("*").alias("_m"), F.first(upto).alias("_n")).where("_m = _n").select("qid", "id")

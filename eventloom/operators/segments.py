@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import delete_folder, whole_folders
+from ..session import delete_folder, spread, whole_folders
 from .search import query_terms, tokens
 
 CELLS = 32
@@ -51,12 +51,28 @@ def _free_number(spark: SparkSession, root: str) -> int:
     return max(used, default=0) + 1
 
 
-def _write_segment(spark: SparkSession, root: str, number: int, postings: DataFrame, documents: DataFrame) -> None:
-    """``postings`` (term, id, tf, dl) dealt to cells; a cell of many postings is split by term and id."""
+def _first_of_runs(words: Column) -> Column:
+    """Where each distinct word begins in a sorted list."""
+    def changes(i: Column) -> Column:
+        return (i == 0) | (F.get(words, i) != F.get(words, i - 1))
+
+    return F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(0), F.size(words) - 1), changes)).otherwise(F.array().cast("array<int>"))
+
+
+def _counts(words: Column, first: Column) -> Column:
+    """(term, tf) of a document, from its sorted words."""
+    return F.transform(first, lambda at, j: F.struct(F.get(words, at).alias("term"), (F.coalesce(F.get(first, j + 1), F.size(words)) - at).cast("long").alias("tf")))
+
+
+def _write_segment(spark: SparkSession, root: str, number: int, postings: DataFrame, documents: DataFrame, n_postings: int, one_row_each: bool = True) -> None:
+    """``postings`` (term, id, tf, dl) dealt to cells; a cell of many postings is split by id. Without ``one_row_each`` a document may
+    have several postings of a term, which are added up where they meet."""
     documents.write.mode("overwrite").parquet(f"{root}/documents/segment={number}")
-    n = max(1, -(-postings.count() // FILE_ROWS))
-    (postings.withColumn("cell", cell(F.col("term"))).repartition(min(CELLS * n, 4096), "cell", F.pmod(F.xxhash64("id"), F.lit(n)))
-     .sortWithinPartitions("cell", "term", "id").write.mode("overwrite").partitionBy("cell").parquet(f"{root}/postings/segment={number}"))
+    n = max(1, -(-n_postings // FILE_ROWS))
+    dealt = postings.withColumns({"cell": cell(F.col("term")), "_part": F.pmod(F.xxhash64("id"), F.lit(n))}).repartition(min(CELLS * n, 4096), "cell", "_part")
+    if not one_row_each:
+        dealt = dealt.groupBy("cell", "_part", "term", "id", "dl").agg(F.sum("tf").alias("tf"))
+    (dealt.select(*postings.columns, "cell").sortWithinPartitions("cell", "term", "id").write.mode("overwrite").partitionBy("cell").parquet(f"{root}/postings/segment={number}"))
     stored = spark.read.schema(T.StructType([*postings.schema.fields, T.StructField("cell", T.IntegerType())])).parquet(f"{root}/postings/segment={number}")
     (stored.groupBy("cell", "term").agg(F.count("*").alias("df")).repartition(CELLS, "cell").sortWithinPartitions("cell", "term")
      .write.mode("overwrite").partitionBy("cell").parquet(f"{root}/terms/segment={number}"))
@@ -68,14 +84,19 @@ def add(df: DataFrame, root: str, id_col: str = "event_id", fields: tuple[str, .
     version, segments, marks = _live(spark, root)
     number = _free_number(spark, root)
     words = F.flatten(F.array(*(tokens(F.col(f)) for f in fields)))
-    counted = (df.select(F.col(id_col).alias("id"), words.alias("_t")).select("id", F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
-               .groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
+    counted = (spread(df.select(F.col(id_col).alias("id"), *fields)).select("id", F.sort_array(words).alias("_t")).select("id", F.size("_t").alias("dl"), "_t")
+               .withColumn("_first", _first_of_runs(F.col("_t"))).select("id", "dl", _counts(F.col("_t"), F.col("_first")).alias("terms")))
     staged = f"{root}/staged/segment={number}"
     counted.write.mode("overwrite").parquet(staged)
-    counted = spark.read.parquet(staged)
-    _write_segment(spark, root, number, counted.where("term IS NOT NULL").select("term", "id", "tf", "dl"), counted.select("id", "dl").distinct())
+    counted = spark.read.schema(counted.schema).parquet(staged)
+    documents = counted.select("id", "dl").distinct()
+    rows, n_postings = counted.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    postings = counted.select("id", "dl", F.explode("terms").alias("p")).select("p.term", "id", "p.tf", "dl")
+    _write_segment(spark, root, number, postings, documents, n_postings, one_row_each=rows == documents.count())
     if segments:
-        _write_marks(spark, root, number, counted.select("id").distinct(), number - 1)
+        # only ids that an older segment holds need a mark
+        older = Index(spark, root, segments, [])._read("documents").select("id").distinct()
+        _write_marks(spark, root, number, documents.select("id").distinct().join(older, "id", "left_semi"), number - 1)
         marks = [*marks, number]
     _publish(spark, root, version + 1, [*segments, number], marks)
     delete_folder(spark, staged)
@@ -168,7 +189,7 @@ def merge_segments(spark: SparkSession, root: str, most: int = MOST_SEGMENTS) ->
     sizes = {r["segment"]: r["n"] for r in Index(spark, root, segments, [])._read("documents").groupBy("segment").agg(F.count("*").alias("n")).collect()}
     old = sorted(sorted(segments, key=lambda s: (sizes.get(s, 0), s))[:len(segments) - most + 1])
     chosen, number = Index(spark, root, old, marks), _free_number(spark, root)
-    _write_segment(spark, root, number, chosen.postings(), chosen.documents())
+    _write_segment(spark, root, number, chosen.postings(), chosen.documents(), chosen.postings().count())
     left = [s for s in segments if s not in old]
     upto = {m: spark.read.parquet(f"{root}/deletes/mark={m}").agg(F.max("upto").alias("u")).first()["u"] for m in marks}
     needed = [m for m in marks if any(s <= (upto[m] or 0) for s in left)]

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import contains, enrich, views
+from eventloom.operators import contains, enrich, keyed, views
 from eventloom.schema import event_frame
 
 
@@ -74,7 +74,7 @@ def test_grams_that_no_key_has_stay_where_they_are(spark, tmp_path):
         assert sorted(map(tuple, found.collect())) == [(m, m) for m in range(40)]
         grams = contains._by_grams(rows.withColumn("t", F.md5("text")), [6], "text", ("t",))
         some = asked.select(F.xxhash64(F.lit(6), "key").alias("h"))
-        kept = grams.where(contains._marked(some))
+        kept = grams.where(keyed.marked(F.col("h"), some))
         assert grams.count() > 100_000 and 40 <= kept.count() < 400 and kept.join(some, "h").count() == 40
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -83,5 +83,5 @@ def test_grams_that_no_key_has_stay_where_they_are(spark, tmp_path):
 def test_a_bitmap_marks_every_hash(spark):
     some = spark.range(20_000).select(F.xxhash64("id").alias("h"))
     other = spark.range(20_000, 120_000).select(F.xxhash64("id").alias("h"))
-    assert some.where(contains._marked(some)).count() == 20_000 and other.where(contains._marked(some)).count() < 10_000
-    assert other.where(contains._marked(some.where("false"))).count() == 0
+    assert some.where(keyed.marked(F.col("h"), some)).count() == 20_000 and other.where(keyed.marked(F.col("h"), some)).count() < 10_000
+    assert other.where(keyed.marked(F.col("h"), some.where("false"))).count() == 0

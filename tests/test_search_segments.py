@@ -110,3 +110,27 @@ def test_search_needs_no_stored_index(spark):
     got = search.search(search.build_index(df, fields=("text",)), search.corpus(df, fields=("text",)), spark.createDataFrame(QUESTIONS, "qid long, q string"))
     same(rows(got), ranked(docs, QUESTIONS))
     assert search.corpus(df.where(F.lit(False)), fields=("text",)).first()["n_docs"] == 0
+
+
+def test_repeated_ids_are_added_up_and_only_ids_held_before_are_marked(spark, tmp_path):
+    root = str(tmp_path / "index")
+    rows = [(1, "b a b"), (1, "b b c"), (1, "a"), (None, "a b"), (None, "b a"), (2, None), (3, "")]
+    segments.add(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), root, "doc_id", ("text",))
+    index = segments.open_index(spark, root)
+    got = sorted((r["term"], r["id"] or 0, r["tf"], r["dl"]) for r in index.postings().collect())
+    assert got == [("a", 0, 2, 2), ("a", 1, 1, 1), ("a", 1, 1, 3), ("b", 0, 2, 2), ("b", 1, 4, 3), ("c", 1, 1, 3)]
+    assert sorted((r["id"] or 0, r["dl"]) for r in index.documents().collect()) == [(0, 2), (1, 1), (1, 3), (2, 0), (3, 0)]
+    segments.add(spark.createDataFrame([(3, "x y"), (4, "x"), (5, "y")], "doc_id long, text string"), root, "doc_id", ("text",))
+    assert [r["id"] for r in spark.read.parquet(f"{root}/deletes/mark=2").collect()] == [3]
+    assert sorted(r["id"] for r in segments.open_index(spark, root).documents().where("id > 1").collect()) == [2, 3, 4, 5]
+
+
+def test_words_are_cut_on_all_cores_and_common_hits_stay_where_they_are(spark, tmp_path):
+    root = str(tmp_path / "index")
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('common word', CAST(id AS STRING), ' ', repeat('common ', 3)) AS text").coalesce(1)
+    segments.add(docs, root, "doc_id", ("text",))
+    hits = segments.open_index(spark, root).search(spark.createDataFrame([(1, "common word7"), (2, "word12 com"), (3, "none common")], "qid int, q string"))
+    got = {(r["qid"], r["id"]) for r in hits.collect()}
+    assert got == {(1, i) for i in (7, *range(70, 80))} | {(2, i) for i in (12, *range(120, 130))}
+    # a bitmap of what was found stands before the join with the hits
+    assert "bit_or" in hits._jdf.queryExecution().optimizedPlan().toString()
